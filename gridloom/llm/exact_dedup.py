@@ -126,7 +126,9 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     hashed = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_digests, f"id {kind}, sha binary")
     tested = materialize(possibly_repeated(materialize(hashed, "hashes"), max_filter_bytes=max_filter_bytes), "tested")
     maybe = tested.where("maybe").select("id", "sha")
-    groups = maybe.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Written first, so that its size is known when the join is planned: small, it is broadcast by Spark's own check and
+    # the rows of a hot group stay where they are; large, Spark's skewed join splits them.
+    groups = materialize(maybe.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     judged = maybe.join(groups, "sha").select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha")
     straight = tested.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     return straight.unionByName(judged).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
