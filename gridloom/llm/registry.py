@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, token_counts
+from . import decontaminate, exact_dedup, line_dedup, token_counts, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op7_warc": warc.op7_warc,
+        "op8_url_filters": url_filter.op8_url_filters,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op9_decontaminate": decontaminate.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op8_url_filters": url_filter.SQL, "op9_decontaminate": decontaminate.SQL, "op10_line_dedup": line_dedup.SQL}
