@@ -117,14 +117,14 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = (
     r"""
-WITH e(kind, value, action, at) AS (VALUES {rows}),
+WITH e(kind, value, action, ts) AS (VALUES {rows}),
 l AS (
-  SELECT kind, value, at, bool_or(action = 'add') AND NOT bool_or(action = 'remove') AS "on" FROM e GROUP BY kind, value, at
+  SELECT kind, value, ts, bool_or(action = 'add') AND NOT bool_or(action = 'remove') AS "on" FROM e GROUP BY kind, value, ts
 ), t AS (
-  SELECT *, coalesce(lag("on") OVER (PARTITION BY kind, value ORDER BY at), false) AS was FROM l
+  SELECT *, coalesce(lag("on") OVER (PARTITION BY kind, value ORDER BY ts), false) AS was FROM l
 ), u AS (
-  SELECT *, lead(at) OVER (PARTITION BY kind, value ORDER BY at) AS until FROM t WHERE "on" <> was
-), v AS (SELECT kind, value, at AS since, until FROM u WHERE "on"),
+  SELECT *, lead(ts) OVER (PARTITION BY kind, value ORDER BY ts) AS until FROM t WHERE "on" <> was
+), v AS (SELECT kind, value, ts AS since, until FROM u WHERE "on"),
 c AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((page_id * 7919) % 527040 AS INTEGER)) AS fetched_at,
          lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]*)', 2)) AS host,
