@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from .shared import table
 
 BITS = 18
+#: The bucket of a repeated word.
+REPEAT = 0
 GRAMS = (3, 4)
 BLOCK_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15
@@ -35,8 +37,21 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all features of a byte array that begins and ends with a blank, and each feature's first byte position."""
+def _after_break(starts: np.ndarray, breaks: np.ndarray | None) -> np.ndarray | None:
+    """Which words are the first of their text."""
+    if breaks is None:
+        return None
+    first = np.zeros(len(starts), bool)
+    at = np.searchsorted(starts, breaks)
+    first[at[at < len(starts)]] = True
+    return first
+
+
+def features(data: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all features of a byte array that begins and ends with a blank, and each feature's first byte position.
+
+    ``breaks``: positions at which another text begins, where the array holds several.
+    """
     blank = _IS_BLANK[data]
     wide = np.where(blank, 32, data).astype(np.uint64)
     out, where = [], []
@@ -63,8 +78,14 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inverse[0] = 1
         inverse = np.multiply.accumulate(inverse)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * power, dtype=np.uint64)])
-        out.append(_bucket((total[ends] - total[starts]) * inverse[starts]))
+        word = (total[ends] - total[starts]) * inverse[starts]
+        out.append(_bucket(word))
         where.append(starts)
+        # The one word bigram that means the same in every language: a word after itself. It counts once per byte, as the word's own n-grams do.
+        again = np.flatnonzero(word[1:] == word[:-1]) + 1
+        again = again[~fresh[again]] if (fresh := _after_break(starts, breaks)) is not None else again
+        out.append(np.full(int((ends - starts)[again].sum()), REPEAT, np.int32))
+        where.append(np.repeat(starts[again], (ends - starts)[again]))
     if not out:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(where)
@@ -112,7 +133,7 @@ class QualityModel:
             if size >= BLOCK_BYTES or k == len(todo) - 1:
                 data = np.frombuffer(b" " + b" ".join(block) + b" ", np.uint8)
                 ends = np.cumsum([len(b) + 1 for b in block])
-                bucket, at = features(data)
+                bucket, at = features(data, ends)
                 doc = np.array(owner)[np.minimum(np.searchsorted(ends, at, side="right"), len(block) - 1)]
                 sums += np.bincount(doc, self.weights[bucket], len(texts))
                 counts += np.bincount(doc, minlength=len(texts))
