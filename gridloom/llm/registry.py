@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, token_counts, url_filter, warc
+from . import decontaminate, exact_dedup, line_dedup, quality, simhash, token_counts, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op4_quality_classifier": quality.op4_quality_classifier,
+        "op5_simhash": simhash.op5_simhash,
         "op7_warc": warc.op7_warc,
         "op8_url_filters": url_filter.op8_url_filters,
         "op9_decontaminate": decontaminate.op9_decontaminate,
