@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, quality, simhash, token_counts, url_filter, warc
+from . import decontaminate, exact_dedup, line_dedup, quality, simhash, substring_dedup, token_counts, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_simhash": simhash.op5_simhash,
         "op7_warc": warc.op7_warc,
