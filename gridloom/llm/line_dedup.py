@@ -242,7 +242,8 @@ class LineIndex:
             return frame
 
         done = materialize(passes(start), "line-pass")
-        wrong = done.select(F.explode("__hits").alias("key")).distinct().join(self.refs.where(F.col("refs") >= self.min_docs), "key", "left_anti")
+        # Few keys, and written first: the join that finds their documents is then planned by their size.
+        wrong = materialize(done.select(F.explode("__hits").alias("key")).distinct().join(self.refs.where(F.col("refs") >= self.min_docs), "key", "left_anti"), "false-alarms")
         redo = materialize(done.select("__row", F.explode("__hits").alias("key")).join(wrong, "key", "left_semi").groupBy("__row").agg(F.collect_set("key").alias("__spare")), "line-redo")
         if redo.isEmpty():
             return done.drop("__row", "__hits")

@@ -241,3 +241,130 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# Near copies by similarity: minimum-hash keys, a wide radius, and an exact check.
+
+N_KEYS = 6
+
+
+def _set_of(text: bytes, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def _signatures(width: int) -> Callable:
+    multipliers = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, N_KEYS, dtype=np.uint64) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, digests, keys = [], [], [], []
+            for v in batch.column(2):
+                h = shingle_hashes(v.as_py() or b"", width)
+                s = np.unique(h)
+                prints.append(fingerprint(h))
+                sizes.append(len(s))
+                digests.append(xxhash.xxh3_128_digest(s.astype("<u8").tobytes()))
+                keys.append([xxhash.xxh3_64_intdigest(k.to_bytes(1, "little") + int((s * m).min()).to_bytes(8, "little")) >> 1 for k, m in enumerate(multipliers)] if len(s) else [])
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "hash", "fp", "n", "digest", "keys"])
+
+    return run
+
+
+def _sets(width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_set_of(v.as_py() or b"", width).astype("<u8").tobytes() for v in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sets, pa.binary())], names=["root", "node", "fp", "shingles"])
+
+    return run
+
+
+def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links that span the groups in which each document has a Jaccard similarity of ``similarity`` or more to another one.
+
+    Pairs within the radius are tried from the closest on, and skipped where they are linked already.
+    """
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sizes = np.array([len(s) for s in sets])
+    near, a, b = [], [], []
+    for i in range(len(sets) - 1):
+        d = np.bitwise_count(prints[i + 1 :] ^ prints[i])
+        ok = np.flatnonzero((d <= radius) & (np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i])))
+        near.append(d[ok])
+        a.append(np.full(len(ok), i))
+        b.append(ok + i + 1)
+    if not near:
+        return
+    order = np.argsort(np.concatenate(near), kind="stable")
+    for i, j in zip(np.concatenate(a)[order].tolist(), np.concatenate(b)[order].tolist(), strict=True):
+        ri, rj = find(i), find(j)
+        if ri != rj:
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
+                root[max(ri, rj)] = min(ri, rj)
+                yield i, j
+
+
+def _verify(radius: int, similarity: float) -> Callable:
+    """Streams rows (root, i, j, node, fp, shingles) sorted by group; yields verified links (a, b)."""
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        nodes = [r[3] for r in rows]
+        found = list(similar_links(np.array([r[4] for r in rows], np.int64).view(np.uint64), [np.frombuffer(r[5], "<u8") for r in rows], radius, similarity))
+        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield links(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield links(held)
+
+    return run
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 20, tile: int = 512) -> DataFrame:
+    """(id, hash, keeper) for every document that is not the one to keep of its group; hash is xxhash64 of the text.
+
+    Two documents are linked when the sets of their ``width``-word shingles (all words, where there are fewer) have a Jaccard similarity
+    of ``similarity`` or more; the document with the smallest id of each connected group stays. Two linked ones share one of six
+    minimum hashes with probability 1 - 0.2**6 at a similarity of 0.8, and lie within 20 of 64 bits with more than 0.999; what is found
+    is checked exactly. Texts without words are copies of each other. A null id is never kept where another is there.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
+    signed = materialize(rows.mapInArrow(_signatures(width), f"id {kind}, hash long, fp long, n int, digest binary, keys array<long>").withColumn("node", F.xxhash64("digest")), "signatures")
+    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("any"), F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")), "different-texts")
+    near = components(candidate_links(nodes.select(F.explode("keys").alias("key"), "node", "fp"), radius))
+    asked = materialize(near.join(nodes, "node").select("root", "node", "fp", F.col("any.id").alias("i"), F.col("any.hash").alias("h")), "near-texts")
+    fetched = rows.join(asked, rows["id"].eqNullSafe(asked["i"]) & (rows["hash"] == asked["h"]))
+    sets = fetched.select("root", "node", "fp", "text").mapInArrow(_sets(width), "root long, node long, fp long, shingles binary")
+    big = materialize(asked.groupBy("root").count().where(F.col("count") > tile).select("root", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "big-groups")
+    mine = F.coalesce(F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"), F.lit(0))
+    partners = F.transform(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1), lambda t: F.struct(F.least(t, mine).alias("i"), F.greatest(t, mine).alias("j")))
+    dealt = sets.join(big, "root", "left").select("root", F.explode(partners).alias("p"), "node", "fp", "shingles").select("root", "p.i", "p.j", "node", "fp", "shingles")
+    checked = dealt.repartition(shuffle_width(docs.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(radius, similarity), "a long, b long")
+    groups = components(checked)
+    linked = nodes.join(groups, "node").select("node", "root", "low")
+    keepers = linked.join(linked.groupBy("root").agg(F.min("low").alias("keeper")), "root").select("node", "keeper")
+    alone = nodes.where("copies > 1").join(keepers.select("node"), "node", "left_anti").select("node", F.col("low").alias("keeper"))
+    told = materialize(keepers.unionByName(alone), "keepers")
+    return signed.join(told, "node").where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "hash", "keeper")
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each group of near copies, all columns as they were."""
+    gone = materialize(near_copies(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct(), "near-copies")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left_anti")
