@@ -74,12 +74,16 @@ def forward_native(network: Network, features: Column) -> Column:
     x = features
     for w, b, last in network.layers():
         rows = F.array(*(F.struct(F.lit(float(bias)).alias("b"), F.array(*(F.lit(float(v)) for v in row)).alias("w")) for row, bias in zip(w, b, strict=True)))
-        unit = lambda r, x=x: F.aggregate(F.zip_with(r["w"], x, lambda a, c: a * c), r["b"], lambda s, t: s + t)
         act = (lambda s: squash(s, network.clamp_output)) if last else (lambda s: leaky(s, network.leak))
-        x = F.transform(F.transform(rows, unit), act)
+        x = F.transform(F.transform(rows, _unit(x)), act)
     return x
 
 
+def _unit(inputs: Column):
+    """A unit's sum: its bias, then the products in order."""
+    return lambda r: F.aggregate(F.zip_with(r["w"], inputs, lambda a, c: a * c), r["b"], lambda s, t: s + t)
+
+
 def forward_batch(network: Network, features: Column) -> Column:
     """The network over Arrow batches, for wide networks and many rows."""
 

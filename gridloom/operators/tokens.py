@@ -20,10 +20,14 @@ def zigzag(symbols: Column) -> Column:
     return F.transform(F.array(*map(F.lit, ZIGZAG)), lambda i: F.element_at(symbols, i + 1))
 
 
-def positions(symbols: Column) -> Column:
-    """Zigzag positions 1..63 that hold a nonzero symbol."""
-    z = zigzag(symbols)
-    return F.filter(F.sequence(F.lit(1), F.lit(NN - 1)), lambda p: F.element_at(z, p + 1) != 0)
+def nonzeros(symbols: Column) -> Column:
+    """Structs (p, q) of the nonzero AC symbols in zigzag order. One pass over the block, with nothing evaluated again inside it."""
+    placed = F.transform(F.array(*map(F.lit, ZIGZAG)), lambda i, p: F.struct(p.alias("p"), F.element_at(symbols, i + 1).alias("q")))
+    return F.filter(placed, lambda s: (s["p"] > 0) & (s["q"] != 0))
+
+
+def _last(at: Column) -> Column:
+    return F.coalesce(F.try_element_at(at, F.lit(-1))["p"], F.lit(0))
 
 
 def tokens(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,21 +35,20 @@ def tokens(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
     prev is the position of the nonzero before (0 for none), the context of a token. A magnitude is capped at 256.
     """
-    at = positions(F.col("sym"))
-    held = blocks.select(*keys, zigzag(F.col("sym")).alias("z"), at.alias("at"))
-    each = F.transform("at", lambda p, i: F.struct(p.alias("p"), F.when(i == 0, 0).otherwise(F.get("at", i - 1)).alias("prev"), F.element_at("z", p + 1).alias("q")))
-    last = F.coalesce(F.try_element_at("at", F.lit(-1)), F.lit(0))
-    end = F.when(last < NN - 1, F.array(F.struct(F.lit(None).cast("int").alias("p"), last.alias("prev"), F.lit(None).cast("int").alias("q")))).otherwise(F.array().cast("array<struct<p:int,prev:int,q:int>>"))
-    rows = held.select(*keys, F.explode(F.concat(each, end)).alias("t"))
+    at = nonzeros(F.col("sym"))
+    before = F.slice(F.concat(F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q"))), at), F.lit(1), F.size(at))
+    each = F.zip_with(at, before, lambda a, b: F.struct(a["p"].alias("p"), b["p"].alias("prev"), a["q"].alias("q")))
+    none = F.lit(None).cast("int")
+    end = F.when(_last(at) < NN - 1, F.array(F.struct(none.alias("p"), _last(at).alias("prev"), none.alias("q")))).otherwise(F.array().cast("array<struct<p:int,prev:int,q:int>>"))
+    rows = blocks.select(*keys, F.explode(F.concat(each, end)).alias("t"))
     q = F.col("t.q")
-    return rows.select(*keys, "t.p", "t.prev", F.when(q.isNull(), EOB).otherwise(F.col("t.p") - F.col("t.prev") - 1).alias("run"), F.least(F.abs(q), F.lit(256)).alias("mag"), (q < 0).alias("neg"))
+    return rows.select(*keys, "t.p", "t.prev", F.when(q.isNull(), EOB).otherwise(F.col("t.p") - F.col("t.prev") - 1).alias("run"), F.when(q.isNotNull(), F.least(F.abs(q), F.lit(256))).alias("mag"), (q < 0).alias("neg"))
 
 
 def block_shape(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys.., nz, lnz, interior, trailing): nonzeros, last nonzero position, zeros before it and after it."""
-    at = blocks.select(*keys, positions(F.col("sym")).alias("at"))
-    nz, lnz = F.size("at"), F.coalesce(F.try_element_at("at", F.lit(-1)), F.lit(0))
-    return at.select(*keys, nz.alias("nz"), lnz.alias("lnz"), (lnz - nz).alias("interior"), (63 - lnz).alias("trailing"))
+    at = nonzeros(F.col("sym"))
+    return blocks.select(*keys, F.size(at).alias("nz"), _last(at).alias("lnz")).withColumn("interior", F.col("lnz") - F.col("nz")).withColumn("trailing", 63 - F.col("lnz"))
 
 
 def token_cost(weight16: int = 16) -> Column:
