@@ -31,6 +31,8 @@ FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
 EPOCH = "2024-01-01T00:00:00Z"
+#: Bytes of an archive that are given to the decompressor at once.
+FEED = 4096
 
 
 def payload_digest(payload: bytes) -> str:
@@ -85,14 +87,20 @@ def unpack(archive: bytes) -> Iterator[bytes]:
     magic, size = struct.unpack_from("<II", archive)
     if magic != DICT_MAGIC:
         raise ValueError(f"not a dictionary frame: {magic:#x}")
-    words, rest = archive[8 : 8 + size], memoryview(archive)[8 + size :]
+    words, data, at = archive[8 : 8 + size], memoryview(archive), 8 + size
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-    while len(rest):
-        if bytes(rest[:4]) != FRAME_MAGIC:
+    while at < len(data):
+        if data[at : at + 4] != FRAME_MAGIC:
             raise ValueError("a record doesn't begin with a Zstandard frame")
-        one = reader.decompressobj()
-        yield one.decompress(rest)
-        rest = rest[len(rest) - len(one.unused_data) :]
+        one, parts = reader.decompressobj(), []
+        while not one.eof:  # fed in pieces, so that what follows a frame is copied once at most
+            piece = data[at : at + FEED]
+            if not len(piece):
+                raise ValueError("the archive ends inside a record")
+            parts.append(one.decompress(piece))
+            at += len(piece)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def parse(raw: bytes) -> dict:
