@@ -292,13 +292,16 @@ def test_rates_equal_a_numpy_fit(spark):
     n = rng.integers(1, 99, 50)
     soft = spark.createDataFrame([(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(n, p, strict=True))], "i int, n_tokens long, p_0 double, p_1 double, p_2 double")
     got = np.array([r["rate"] for r in mixing.fit_rates(soft, [0.7, 0.2, 0.1], max_steps=40).orderBy("i").collect()])
-    rate, first = np.ones(50), n @ p
+    rate, first, gram = np.ones(50), n @ p, (p * n[:, None]).T @ p
     target = np.array([0.7, 0.2, 0.1]) * first.sum()
+    last = np.inf
     for _ in range(40):
         have = (rate * n) @ p
-        if abs(have - target).max() <= 1e-3 * first.sum():
+        gap = abs(have - target).max()
+        if not 1e-3 * first.sum() < gap < 0.98 * last:
             break
-        rate = np.maximum(0, rate - p @ ((have - target) / first))
+        last = gap
+        rate = np.maximum(0, rate - p @ np.linalg.solve(gram, have - target))
     assert np.allclose(got, rate, atol=1e-6)
 
 
