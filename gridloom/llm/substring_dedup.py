@@ -4,7 +4,9 @@ Equal strings must meet. Each window of ``length`` bytes is routed by its minimi
 which depends on the window alone, so equal windows go to the same bucket wherever they stand. Neighbouring windows
 mostly share a minimizer and travel as one segment.
 
-1. Documents are packed into chunks, written once to the shared folder, bucketed by chunk.
+1. Documents are packed into chunks, written once to the shared folder, bucketed by chunk. They are dealt by the least hash of all their
+   grams, which near copies mostly share, so that their common segments are found equal within a chunk and move once; Spark splits
+   a share that a large group of copies makes too big.
 2. Each chunk sends the minimizers that it holds (about 3 bytes each); buckets answer which ones occur in two documents or more.
 3. Each chunk sends the different segments of repeated minimizers, with the least and the largest document id that hold them here.
 4. A bucket joins its segments to one text, sorts its suffixes to the depth that matters, takes the Burrows-Wheeler transform and
@@ -60,7 +62,11 @@ def _minima(data: np.ndarray, length: int) -> np.ndarray:
         count = (len(data) - k) // 8
         if count > 0:
             words[k::8] = np.frombuffer(data, "<u8", count, k)[: len(words[k::8])]
-    h = (((words[: n - 8] * _K[0]) ^ (words[8:] * _K[1] + _K[2])) * _K[2] >> np.uint64(32)).astype(np.uint32)
+    m = n - (GRAM - 8)
+    h = words[:m] * _K[0]
+    for k in range(8, GRAM, 8):
+        h = (h ^ (h >> np.uint64(29)) ^ words[k : k + m]) * _K[1 + k // 8 % 2]
+    h = (h >> np.uint64(32)).astype(np.uint32)
     width, have = length - GRAM + 1, 1
     while have * 2 <= width:
         h = np.minimum(h[:-have], h[have:])
@@ -158,8 +164,11 @@ def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(bucket[s]), s, e
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes of an array of symbols sorted by their first 64: words of 8, then doubling within ties only."""
+def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of an array of symbols sorted by their first 64: words of 8, then doubling within ties only.
+
+    Also the common prefix of each suffix with the one before it as far as the words tell: 0 to 7, or 8 for 8 and more.
+    """
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     word = np.zeros(n, np.uint64)
@@ -167,8 +176,10 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         word = (word << np.uint64(8)) | padded[k : k + n]
     order = np.argsort(word)
     w = word[order]
-    new = np.concatenate([[True], w[1:] != w[:-1]])
-    del padded, word, w
+    differ = w[1:] ^ w[:-1]
+    new = np.concatenate([[True], differ != 0])
+    values = np.concatenate([[0], sum((differ < np.uint64(1 << (64 - 8 * k))).astype(np.int8) for k in range(1, 8)) + (differ == 0)]).astype(np.int8)
+    del padded, word, w, differ
     depth = 8
     while depth < 64:
         rank = np.empty(n + depth, np.int64)
@@ -185,14 +196,15 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         g, k = group[by], key[by]
         new[tied[1:]] |= (g[1:] == g[:-1]) & (k[1:] != k[:-1])
         depth *= 2
-    return order
+    return order, values
 
 
-def shared_prefix_groups(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+def shared_prefix_groups(text: np.ndarray, order: np.ndarray, values: np.ndarray, length: int) -> np.ndarray:
     """Group number of each suffix in sorted order; one group shares its first ``length`` symbols. Symbol 0 ends a segment.
 
     Intervals of suffixes with a common string are extended to the left over the Burrows-Wheeler transform, all intervals
-    of one string length at once; an interval's end that wasn't set yet gets a common prefix below ``length``.
+    of one string length at once; an interval's end that wasn't set yet gets a common prefix below ``length``. Common prefixes below 8 are
+    known from the first sort (``values``), so the search begins with the strings of 8 whose interval ends at a prefix of 7.
     """
     n = len(text)
     bwt = text[order - 1]
@@ -203,26 +215,22 @@ def shared_prefix_groups(text: np.ndarray, order: np.ndarray, length: int) -> np
     after, before = np.full(n, n, np.int64), np.full(n, -1, np.int64)  # next and last place with the same preceding symbol
     after[by_symbol[:-1][same]] = by_symbol[1:][same]
     before[by_symbol[1:][same]] = by_symbol[:-1][same]
-    ended = np.zeros(n + 1, bool)
-    ended[n] = True
-    low, high = np.array([0]), np.array([n])
-    for _ in range(length):
+    ended = np.concatenate([values < 8, [True]])
+    edges = np.flatnonzero(ended)
+    at_seven = np.append(values, 0)[edges[1:]] == 7
+    low, high = edges[:-1][at_seven], edges[1:][at_seven]
+    for _ in range(8, length):
+        if not len(low):
+            break
         size = high - low
         which = np.repeat(np.arange(len(low)), size)
         i = np.arange(len(which)) + np.repeat(low - (np.cumsum(size) - size), size)
-        i_ok = bwt[i] != 0  # nothing stands to the left of a segment
-        i, which = i[i_ok], which[i_ok]
-        first, last = i[before[i] < low[which]], i[after[i] >= high[which]]
-        if len(low) == 1 and size[0] == n:  # at the start, the interval of the segment ends counts too
-            n_ends = int((bwt == 0).sum())
-            low, high = np.append(np.sort(step[first]), 0), np.append(np.sort(step[last]) + 1, n_ends)
-        else:
-            low, high = np.sort(step[first]), np.sort(step[last]) + 1
+        inner = bwt[i] != 0  # nothing stands to the left of a segment
+        i, which = i[inner], which[inner]
+        low, high = np.sort(step[i[before[i] < low[which]]]), np.sort(step[i[after[i] >= high[which]]]) + 1
         fresh = ~ended[high]
         low, high = low[fresh], high[fresh]
         ended[high] = True
-        if not len(low):
-            break
     return np.concatenate([[0], np.cumsum(ended[1:n])])
 
 
@@ -239,8 +247,8 @@ def least_holders(pieces: list[bytes], docs: np.ndarray, length: int) -> tuple[n
     symbol = np.zeros(256, np.uint8)
     symbol[used] = np.arange(1, used.sum() + 1)  # UTF-8 uses fewer than 255 byte values, so 0 is free for the ends
     text = np.where(inner, symbol[raw], 0).astype(np.uint8)
-    order = suffix_order(text)
-    group = shared_prefix_groups(text, order, length)
+    order, values = suffix_order(text)
+    group = shared_prefix_groups(text, order, values, length)
     counts = sizes - length + 1
     piece = np.repeat(np.arange(len(pieces)), counts)
     places = np.arange(len(piece)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
@@ -252,6 +260,20 @@ def least_holders(pieces: list[bytes], docs: np.ndarray, length: int) -> tuple[n
     return least[mine], counts
 
 
+def _dealt_by(length: int):
+    """(key, id, text): the least gram hash of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for text in batch.column(1):
+                data = np.frombuffer(text.as_py() or b"", np.uint8)
+                keys.append(min((int(_minima(data[at : at + _BLOCK + length], length).min()) for at in range(0, len(data) - length + 1, _BLOCK)), default=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), batch.column(1)], names=["key", "id", "text"])
+
+    return run
+
+
 def _chunks(chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -434,13 +456,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     the input and never cross documents. Ids are integers; a null id counts as larger than any other. Rows with the same id are one
     another's equals: neither loses anything to the other, both lose to smaller ids. A null text is empty; texts shorter than
     ``length`` keep all. Other columns are not read. An empty table gives no rows. A text of any length is one chunk at least, which
-    one task holds; ``length`` is at least 24 and at most 64.
+    one task holds; ``length`` is at least 40 and at most 64.
     """
-    if not 24 <= length <= 64:
-        raise ValueError("length must be from 24 to 64")
+    if not 40 <= length <= 64:
+        raise ValueError("length must be from 40 to 64")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    packed = rows.mapInArrow(_chunks(chunk_bytes), "chunk long, ids binary, sizes binary, body binary, bytes long")
+    dealt = rows.mapInArrow(_dealt_by(length), "key long, id long, text binary").hint("rebalance", F.col("key")).sortWithinPartitions("key").select("id", "text")
+    packed = dealt.mapInArrow(_chunks(chunk_bytes), "chunk long, ids binary, sizes binary, body binary, bytes long")
     # Bucketed by chunk: the two joins below move the answers only.
     path, name, width = scratch_path(spark, "chunks"), f"chunks_{uuid.uuid4().hex}", shuffle_width(spark)
     packed.write.bucketBy(width, "chunk").option("path", path).saveAsTable(name)
