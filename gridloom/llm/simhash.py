@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .prefilter import may_be_in
 from .shared import ASCII_LOWER, materialize, shuffle_width, table
 
 SEED = 42
@@ -349,7 +350,9 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("any"), F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")), "different-texts")
     near = components(candidate_links(nodes.select(F.explode("keys").alias("key"), "node", "fp"), radius))
     asked = materialize(near.join(nodes, "node").select("root", "node", "fp", F.col("any.id").alias("i"), F.col("any.hash").alias("h")), "near-texts")
-    fetched = rows.join(asked, rows["id"].eqNullSafe(asked["i"]) & (rows["hash"] == asked["h"]))
+    # Only texts that may be asked for shuffle.
+    wanted = rows.where(may_be_in(asked.select("h"), F.col("hash")))
+    fetched = wanted.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")))
     sets = fetched.select("root", "node", "fp", "text").mapInArrow(_sets(width), "root long, node long, fp long, shingles binary")
     big = materialize(asked.groupBy("root").count().where(F.col("count") > tile).select("root", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "big-groups")
     mine = F.coalesce(F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"), F.lit(0))
@@ -367,4 +370,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each group of near copies, all columns as they were."""
     gone = materialize(near_copies(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct(), "near-copies")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left_anti")
+    maybe = may_be_in(gone.select("__hash"), F.xxhash64(docs[text_col]))
+    marked = docs.withColumn("__maybe", maybe)
+    looked_up = marked.where("__maybe").join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left_anti")
+    return marked.where("not __maybe").unionByName(looked_up).drop("__maybe")

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridloom.llm import components, decontaminate, exact_dedup, line_dedup, mixing, quality, shared, simhash, substring_dedup, token_counts, url_filter, warc
+from gridloom.llm import components, decontaminate, exact_dedup, line_dedup, mixing, quality, prefilter, shared, simhash, substring_dedup, token_counts, url_filter, warc
 
 CLASH = "doc_id long, text string, keep_id string, kept string, n_words string, rate string, key string, hash string, id string, sha string, __x string"
 
@@ -268,6 +268,16 @@ def test_near_copies(spark):
     assert {r["doc_id"] for r in simhash.drop_near_copies(docs, tile=4).collect()} == want
 
 
+@pytest.mark.parametrize("most", [16 << 20, 8192])
+def test_prefilter_never_rules_out_a_key(spark, most):
+    keys = spark.range(0, 60000, 3).select((F.xxhash64("id")).alias("k"))
+    rows = spark.range(60000).withColumn("k", F.xxhash64("id")).withColumn("t", F.lit("x"))
+    maybe = {r["id"] for r in rows.where(prefilter.may_be_in(keys, F.col("k"), max_bytes=most)).collect()}
+    held = set(range(0, 60000, 3))
+    assert held <= maybe and (len(maybe - held) < 400 or most < 1 << 20)
+    assert rows.where(prefilter.may_be_in(keys.limit(0), F.col("k"))).count() == 0
+
+
 # 6
 
 
