@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import warnings
 import zlib
 
 import numpy as np
@@ -315,6 +316,35 @@ def test_rates_equal_a_numpy_fit(spark):
     assert np.allclose(got, rate, atol=1e-6)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_rates_reach_targets_that_can_be_met(spark, seed):
+    """Targets are the totals of invented rates, many of them 0, so that they can be met; most plain steps shrink the gap by less than 2 %."""
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet([6.0, 2.0, 1.0], 200).round(6)
+    n = rng.integers(1, 99, 200)
+    goal = (np.where(p[:, 0] > np.quantile(p[:, 0], 0.9), 1.0, 0.0) * n) @ p
+    soft = spark.createDataFrame([(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(n, p, strict=True))], "i int, n_tokens long, p_0 double, p_1 double, p_2 double")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        rate = np.array([r["rate"] for r in mixing.fit_rates(soft, goal.tolist()).orderBy("i").collect()])
+    assert (rate >= 0).all() and abs((rate * n) @ p / n.sum() - goal / goal.sum()).max() <= 1e-3 + 1e-6
+
+
+def test_rates_report_targets_that_cannot_be_met(spark):
+    """No document has more than 0.6 of domain 0: the nearest totals use the documents at 0.6 only."""
+    soft = spark.createDataFrame([(i, 10, x / 100, 1 - x / 100) for i, x in enumerate(range(20, 61))], "i int, n_tokens long, p_0 double, p_1 double")
+    with pytest.warns(UserWarning, match="from the target of a domain"):
+        got = mixing.fit_rates(soft, [0.9, 0.1]).orderBy("i").toPandas()
+    assert (got.rate[got.p_0 < 0.55] < 0.05).all() and got.rate.iloc[-1] > 1
+    # By hand: along (0.6, 0.4) alone the nearest total in the norm of the inverse Gram matrix.
+    p = got[["p_0", "p_1"]].to_numpy()
+    inverse = np.linalg.inv(10 * p.T @ p)
+    t, a = np.array([0.9, 0.1]) * 410, np.array([0.6, 0.4])
+    assert np.allclose((10 * got.rate.to_numpy()) @ p, a * (a @ inverse @ t) / (a @ inverse @ a), atol=2e-3 * 410)
+    with pytest.warns(UserWarning, match="from the target of a domain"):
+        mixing.fit_rates(soft, [0.59, 0.41], max_steps=1)
+
+
 def test_mixing_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "id long, domain string")
     got = mixing.mix(docs_of(spark, [(1, "a b"), (2, None)]), none, {"x": 0.5, "y": 0.5}).collect()
