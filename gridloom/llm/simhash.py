@@ -260,9 +260,8 @@ def _signatures(width: int) -> Callable:
         for batch in batches:
             prints, sizes, digests, keys = [], [], [], []
             for v in batch.column(2):
-                h = shingle_hashes(v.as_py() or b"", width)
-                s = np.unique(h)
-                prints.append(fingerprint(h))
+                s = _set_of(v.as_py() or b"", width)
+                prints.append(fingerprint(s))  # of the set, as the similarity is: repeats within a text count for nothing
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.astype("<u8").tobytes()))
                 keys.append([xxhash.xxh3_64_intdigest(k.to_bytes(1, "little") + int((s * m).min()).to_bytes(8, "little")) >> 1 for k, m in enumerate(multipliers)] if len(s) else [])
@@ -341,8 +340,8 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Two documents are linked when the sets of their ``width``-word shingles (all words, where there are fewer) have a Jaccard similarity
     of ``similarity`` or more; the document with the smallest id of each connected group stays. Two linked ones share one of six
-    minimum hashes with probability 1 - 0.2**6 at a similarity of 0.8, and lie within 20 of 64 bits with more than 0.999; what is found
-    is checked exactly. Texts without words are copies of each other. A null id is never kept where another is there.
+    minimum hashes with probability 1 - 0.2**6 at a similarity of 0.8, and the fingerprints of their sets lie within 20 of 64 bits with
+    more than 0.999; what is found is checked exactly. Texts without words are copies of each other. A null id is never kept where another is there.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))

@@ -269,6 +269,22 @@ def test_near_copies(spark):
     assert {r["doc_id"] for r in simhash.drop_near_copies(docs, tile=4).collect()} == want
 
 
+def test_near_copies_that_repeat_differently(spark):
+    """Copies of which one repeats a passage have nearly the same set of shingles, or the same, however often it stands there."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        footer = words[100:140]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + footer * 60))]
+    loop = ["a", "b", "c", "d", "e", "f", "g"]
+    rows += [(100, " ".join(loop * 2)), (101, " ".join(loop * 90 + loop[:4]))]
+    far = [np.bitwise_count(np.uint64(simhash.fingerprint(simhash.shingle_hashes(a.encode(), 5)) ^ simhash.fingerprint(simhash.shingle_hashes(b.encode(), 5)))) > 20 for (_, a), (_, b) in zip(rows[0:24:2], rows[1:24:2], strict=True)]
+    assert any(far)  # with repeats counted, the radius would not hold them
+    got = sorted((r["id"], r["keeper"]) for r in simhash.near_copies(docs_of(spark, rows)).collect())
+    assert got == [*((2 * k + 1, 2 * k) for k in range(12)), (101, 100)]
+
+
 @pytest.mark.parametrize("most", [16 << 20, 8192])
 def test_prefilter_never_rules_out_a_key(spark, most):
     keys = spark.range(0, 60000, 3).select((F.xxhash64("id")).alias("k"))
