@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import f32
@@ -43,6 +44,19 @@ def pack_channels(planes: DataFrame, key: str, n: int) -> DataFrame:
     return planes.where(F.col(key).between(0, n - 1)).groupBy("y", "x").agg(*picked).select("y", "x", F.array(*(f"c{k}" for k in range(n))).alias("v"))
 
 
+def rank_in_key(rows: DataFrame, key: str, order: str, chunk: int = 4096) -> DataFrame:
+    """``rows`` with y long: 0, 1, .. within each key by ``order`` (an integer column).
+
+    A window takes at most ``chunk`` values of ``order`` of a key, and one over the chunks' counts adds what lies before.
+    """
+    dealt = rows.withColumn("_c", F.floor(F.col(order) / chunk))
+    before = F.sum("_n").over(Window.partitionBy("_k").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1))
+    counts = dealt.groupBy(F.col(key).alias("_k"), F.col("_c").alias("_d")).agg(F.count(F.lit(1)).alias("_n")).select("_k", "_d", F.coalesce(before, F.lit(0)).alias("_b"))
+    inside = F.row_number().over(Window.partitionBy(key, "_c").orderBy(order)) - 1
+    ranked = dealt.withColumn("_i", inside).join(counts, (F.col(key).eqNullSafe(F.col("_k"))) & F.col("_c").eqNullSafe(F.col("_d")))
+    return ranked.withColumn("y", (F.col("_b") + F.col("_i")).cast("long")).drop("_c", "_i", "_k", "_d", "_b")
+
+
 def slice_channels(packed: DataFrame, first: int, count: int) -> DataFrame:
     return packed.select("y", "x", F.slice("v", first + 1, count).alias("v"))
 

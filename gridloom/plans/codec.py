@@ -266,6 +266,20 @@ def pack_slice_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("y", "x", "v", F.slice("v", 2, 2).alias("part"))
 
 
+#: Labels of the embeddings table are 0 .. LABELS - 1.
+LABELS = 10
+
+
+@query(f"SELECT y, x, [{', '.join(f'max(v) FILTER (WHERE label = {k})' for k in range(LABELS))}] AS v FROM (SELECT label, y, unnest(range(64)) AS x, CAST(unnest(embedding) AS FLOAT) AS v FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS y FROM embeddings)) GROUP BY y, x")
+def pack_all_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector once, its label as the channel and its place within the label as the row."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    if strange := vectors.where(F.col("label").isNull() | ~F.col("label").between(0, LABELS - 1)).count():
+        raise ValueError(f"{strange} vectors have a label outside 0 .. {LABELS - 1}")
+    rows = G.rank_in_key(vectors, "label", "vec_id").select("label", "y", F.posexplode("embedding").alias("x", "v"))
+    return G.pack_channels(rows.select("label", "y", F.col("x").cast("long").alias("x"), S.f32(F.col("v")).alias("v")), "label", LABELS)
+
+
 def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 16 x 16 texel grid from the first element rows of plane E."""
     return plane_e(spark, sf_dir).where((F.col("y") < 16) & (F.col("x") < 16))

@@ -359,3 +359,18 @@ def test_psnr_and_weights(spark):
 def test_raw_accounting(spark):
     lv = spark.createDataFrame([(0, 64, 64, 4, 8)], "l int, w long, h long, c long, bits long")
     assert tuple(R.raw_accounting(lv, 100).first()) == (64 * 64 * 4 * 8, 256, 1600)
+
+
+def test_all_channels_hold_every_vector_once(spark, small):
+    from gridloom.plans import codec
+
+    want = sorted((r["label"], x, np.float32(v)) for r in codec.table(spark, small, "embeddings").collect() for x, v in enumerate(r["embedding"]))
+    got = sorted((k, r["x"], np.float32(v)) for r in codec.QUERIES["pack_all_channels"](spark, small).collect() for k, v in enumerate(r["v"]) if v is not None)
+    assert got == want
+
+
+def test_rank_in_key(spark):
+    rows = [(k, i) for k in (0, 1) for i in range(k, 50, 3)] + [(0, 3)]
+    for chunk in (4, 4096):
+        got = G.rank_in_key(spark.createDataFrame(rows, "k int, i long"), "k", "i", chunk).collect()
+        assert sorted((r["k"], r["y"], r["i"]) for r in got) == [(k, y, i) for k in (0, 1) for y, i in enumerate(sorted(j for q, j in rows if q == k))]
