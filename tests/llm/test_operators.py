@@ -117,6 +117,45 @@ def test_substring_dedup(spark, rows, chunk):
     assert sorted(str(tuple(r)) for r in got) == brute_spans(some, 50)
 
 
+def test_a_passage_in_many_surroundings_is_dealt_out(spark):
+    """One passage of 67 bytes in 5,000 documents that have nothing else in common: as many different segments of one minimizer."""
+    rng = random.Random(11)
+    noise = lambda: "".join(rng.choice("abcdefghijklmnop ") for _ in range(60))
+    passage = "The passage that stands in thousands of documents, each time anew. "
+    rows = [(i, f"{noise()}{passage}{noise()}") for i in range(5000)]
+    want = {i: (0 if i == 0 else 1) for i, _ in rows}
+    for hot in (20_000, 1 << 30):
+        got = substring_dedup.remove_repeats(docs_of(spark, rows), chunk_bytes=100_000, group_bytes=50_000, slice_bytes=20_000, hot_bytes=hot).collect()
+        assert {r["doc_id"]: r["n_spans"] for r in got} == want and all(r["n_removed"] >= 67 for r in got if r["doc_id"])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
+
+
+def test_substring_pieces_of_a_split_minimizer_stay_small():
+    """The answer to values deals a value with many segments into parts by its size."""
+    import pyarrow as pa
+
+    rows = pa.table({"chunk": [1, 2], "bucket": [0, 0], "values": [substring_dedup._zip(np.array([7, 3], np.uint64), np.array([2, 2 * 400 + 1], np.uint16)), substring_dedup._zip(np.array([7, 3], np.uint64), np.array([2, 2 * 100], np.uint16))]})
+    told = substring_dedup._answer_values(50, 20_000)(rows)
+    parts = [substring_dedup._unzip(x.as_py(), "<u4")[0].tolist() for x in told["told"]]
+    assert parts[0] == parts[1] and parts[0][0] == 1 and parts[0][1] >= 500 * 18 * 50 / 20_000
+
+
+def test_long_texts_sort_like_short_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = rng.integers(1, 3, 4000).astype(np.uint8)
+    text[rng.integers(0, 4000, 40)] = 0
+    text[-1] = 0
+    both = []
+    for places in (substring_dedup.PLACES, 10):
+        monkeypatch.setattr(substring_dedup, "PLACES", places)
+        order, values, known = substring_dedup.suffix_order(text, 50)
+        groups = substring_dedup.shared_prefix_groups(text, order, values, known, 50)
+        of = np.empty(len(text), np.int64)
+        of[order] = groups
+        both.append(of)
+    assert (both[0] == both[1]).all()
+
+
 def test_substring_dedup_text(spark):
     a = "The quick brown fox jumps over the lazy dog while it rains in spring."
     got = {r["doc_id"]: bytes(r["kept"]).decode() for r in substring_dedup.remove_repeats(docs_of(spark, [(2, f"new {a} end"), (1, a)]), with_text=True).collect()}
