@@ -162,7 +162,7 @@ def sync_value(base: int, level: Column, channel: Column) -> Column:
 
 
 def fnv1a32(data: Column) -> Column:
-    """FNV-1a over a binary column, as a fold that stays within a signed long. Suited to short keys; ``bits.fnv1a32_udf`` is faster on long ones."""
+    """FNV-1a over a binary column, as a fold that stays within a signed long. Suited to short keys; ``bits.fnv1a_column`` is faster on long ones."""
     digits = F.hex(data)
     bytes_ = F.transform(F.when(F.length(data) > 0, F.sequence(F.lit(1), F.length(data))).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.substr(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
     return F.aggregate(bytes_, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import psnr, to_8bit
@@ -42,8 +42,28 @@ def value_stats(df: DataFrame, value: str, keys: list[str] | None = None) -> Dat
 
 
 def median(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Exact median, the mean of the two middle values of an even count."""
-    return df.groupBy(*keys).agg(F.percentile(F.col(value), 0.5).alias("median"))
+    """Exact median, the mean of the two middle values of an even count; nulls don't count.
+
+    Values are counted in BINS equal parts of their group's range, and only the parts that hold the middle are sorted, so no task gets the values
+    of a group.
+    """
+    v = F.col(value)
+    spread = df.where(v.isNotNull()).groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(v).alias("_n"))
+    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BINS - 1), F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS))).otherwise(F.lit(0))
+    placed = df.where(v.isNotNull()).join(spread, keys).withColumn("_bin", bin_)
+    # BINS rows a group at most.
+    upto = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_bin"))
+    bins = placed.groupBy(*keys, "_bin", "_n").agg(F.count(F.lit(1)).alias("_m")).withColumn("_upto", upto)
+    first, last = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1  # ranks of the middle values, from 1
+    middle = bins.where((F.col("_upto") >= first) & (F.col("_upto") - F.col("_m") < last)).select(*keys, "_bin", (F.col("_upto") - F.col("_m")).alias("_before"))
+    counted = placed.join(middle, [*keys, "_bin"]).groupBy(*keys, "_bin", "_before", "_n", v.alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    ranked = counted.withColumn("_upto", F.col("_before") + F.sum("_m").over(Window.partitionBy(*keys, "_bin").orderBy("_v")))
+    held = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    return ranked.groupBy(*keys).agg(((held(first) + held(last)) / 2).alias("median"))
+
+
+#: Parts of a range in which median() counts.
+BINS = 4096
 
 
 def churn(old: DataFrame, new: DataFrame, keys: list[str], group: list[str]) -> DataFrame:

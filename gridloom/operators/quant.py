@@ -63,3 +63,31 @@ def palette(df: DataFrame, channel: str, index: str, value: str) -> DataFrame:
 def active_levels(levels: DataFrame, searched_level0: bool) -> DataFrame:
     """Levels that take part in random search: all, but for level 0 where it is searched exactly."""
     return levels.where(~((F.col("l") == 0) & F.lit(searched_level0)))
+
+
+def already_discrete(levels: DataFrame) -> DataFrame:
+    """levels(l, fixed boolean, frozen_bits int, dct boolean) with ``discrete``: whether training left the level on a grid of its own."""
+    return levels.withColumn("discrete", ((F.col("l") == 0) & (F.col("fixed") | F.col("dct"))) | (F.col("frozen_bits") > 0))
+
+
+def candidate_decodes(bits: Column) -> Column:
+    """How often a search over fixed grids decodes a texel: the grid values of all channels (array of bits)."""
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda n, b: n + F.call_function("shiftleft", F.lit(1).cast("long"), b))
+
+
+def refresh(levels: DataFrame, ranges: DataFrame, bits: dict[int, int]) -> DataFrame:
+    """(l, c, y, x, z, zq, moved) of levels(l, c, y, x, v): the copy that is decoded.
+
+    Levels in ``bits`` are snapped to their frozen ranges(l, c, lo, hi, width), and their shadow z is clamped to them; others are copied.
+    """
+    out = levels.where(~F.col("l").isin(list(bits))).select("l", "c", "y", "x", F.col("v").alias("z"), F.col("v").alias("zq"), F.lit(False).alias("moved"))
+    for level, b in bits.items():
+        own = snap_frozen(levels.where(F.col("l") == level), ranges, ["l", "c"], "v", b)
+        out = out.unionByName(own.select("l", "c", "y", "x", "z", F.col("q").alias("zq"), "moved"))
+    return out
+
+
+def fit_all(levels: DataFrame, bits: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Freeze the ranges of the levels in ``bits`` from what they hold, then snap: (ranges, refreshed levels)."""
+    ranges = fit_ranges(levels.where(F.col("l").isin(list(bits))), ["l", "c"], "v")
+    return ranges, refresh(levels, ranges, bits)

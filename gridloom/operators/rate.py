@@ -74,10 +74,17 @@ def raw_accounting(levels: DataFrame, n_weights: int) -> DataFrame:
     return levels.agg(F.sum(F.col("w") * F.col("h") * F.col("c") * F.col("bits")).alias("latent_bits"), F.sum(F.col("c") * 64).alias("header_bits"), F.lit(16 * n_weights).cast("long").alias("network_bits"))
 
 
-def running_best(df: DataFrame, order: str, value: str, keys: list[str] | None = None) -> DataFrame:
-    """df with best, the largest value so far within its keys."""
-    over = Window.partitionBy(*(keys or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("best", F.max(value).over(over))
+def running_best(df: DataFrame, order: str, value: str, keys: list[str] | None = None, chunk: int = 1 << 16) -> DataFrame:
+    """df with best, the largest value so far within its keys, by ``order`` (an integer column).
+
+    A window takes ``chunk`` places of the order at most; one over the chunks' maxima adds what lies before.
+    """
+    at = [*(keys or []), "_c"]
+    dealt = df.withColumn("_c", F.floor(F.col(order) / chunk))
+    earlier = Window.partitionBy(*(keys or [])).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    tops = dealt.groupBy(*at).agg(F.max(value).alias("_m")).select(*at, F.max("_m").over(earlier).alias("_b"))
+    own = F.max(value).over(Window.partitionBy(*at).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_o", own).join(tops, at).withColumn("best", F.greatest("_o", "_b")).select(*df.columns, "best")
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import code_length, low_weight, magnitude_cost, run_cost
@@ -78,43 +78,42 @@ def dc_residuals(blocks: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def bits_by_class(blocks: DataFrame, dc_bits: int) -> DataFrame:
     """(class, raw, h0, ctx) bits of the classes dc, run, mag, sign and eob of one channel's blocks (by, bx, sym).
 
-    Pass one counts tokens; code lengths are taken from counts alone, so pass two is a sum over the count tables and never goes
-    back to the tokens.
+    Runs, magnitudes and DC residuals are symbols of three streams in one table, counted once by context and symbol. Code lengths are
+    taken from the counts alone: windows over that table, whose size the alphabets bound (64 contexts of 65 runs and 256 magnitudes, and the residuals).
+    """
+    none = F.lit(None).cast("int")
+    symbol = lambda stream, context, value: F.struct(F.lit(stream).alias("stream"), context.alias("context"), value.alias("symbol"))
+    both = F.array(symbol("run", F.col("prev"), F.col("run")), F.when(F.col("mag").isNotNull(), symbol("mag", F.col("prev"), F.col("mag"))))
+    of_tokens = tokens(blocks, ["by", "bx"]).select(F.explode(F.array_compact(both)).alias("s")).select("s.*")
+    streams = of_tokens.unionByName(dc_residuals(blocks).select(F.lit("dc").alias("stream"), none.alias("context"), F.col("r").alias("symbol")))
+    counts = streams.groupBy("stream", "context", "symbol").agg(F.count(F.lit(1)).alias("n"))
+    total = lambda *keys: F.sum("n").over(Window.partitionBy(*keys))
+    spent = counts.withColumns({"ctx": F.col("n") * code_length(F.col("n"), total("stream", "context")), "h0": F.col("n") * code_length(total("stream", "symbol"), total("stream"))})
+    end = (F.col("stream") == "run") & (F.col("symbol") == EOB)
+    # A magnitude comes with a sign, which costs one bit however it is counted.
+    classes = F.when(F.col("stream") == "mag", F.array(F.lit("mag"), F.lit("sign"))).otherwise(F.array(F.when(end, "eob").otherwise(F.col("stream"))))
+    each = spent.withColumn("class", F.explode(classes))
+    sign, n = F.col("class") == "sign", F.col("n").cast("double")
+    summed = each.groupBy("class").agg(F.sum("n").alias("n"), F.sum(F.when(sign, n).otherwise(F.col("h0"))).alias("h0"), F.sum(F.when(sign, n).otherwise(F.col("ctx"))).alias("ctx"))
+    widths = blocks.sparkSession.createDataFrame([("dc", dc_bits), ("run", 7), ("mag", 8), ("sign", 1), ("eob", 7)], "class string, bits long")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return widths.join(summed, "class", "left").select("class", (F.coalesce("n", F.lit(0)) * F.col("bits")).alias("raw"), zero("h0"), zero("ctx"))
+
+
+def block_entropy(blocks: DataFrame) -> DataFrame:
+    """(by, bx, bits double): what each block of (by, bx, sym) costs in order-0 code lengths of the plane's own DC residuals, runs and magnitudes, and its signs.
+
+    Code lengths are a table that its alphabets bound; the symbols are joined back to it.
     """
     t = tokens(blocks, ["by", "bx"])
-    runs = t.groupBy("prev", "run").agg(F.count(F.lit(1)).alias("n"))
-    mags = t.where("mag is not null").groupBy("prev", "mag").agg(F.count(F.lit(1)).alias("n"))
-    res = dc_residuals(blocks).groupBy("r").agg(F.count(F.lit(1)).alias("n"))
-
-    def spent(counts: DataFrame, context: list[str], symbol: str) -> DataFrame:
-        """counts with the bits of each symbol under its context: n x -log2(n / n of the context)."""
-        grouped = counts.groupBy(*context, symbol).agg(F.sum("n").alias("n"))
-        totals = grouped.groupBy(*context).agg(F.sum("n").alias("total")) if context else None
-        joined = grouped.join(totals, context) if context else grouped.join(grouped.agg(F.sum("n").alias("total")))
-        return joined.withColumn("bits", F.col("n") * code_length(F.col("n"), F.col("total")))
-
-    zero = F.coalesce(F.sum("bits"), F.lit(0.0)).alias("bits")
-    flat = lambda df: df.agg(zero)
-    end, inner = F.col("run") == EOB, F.col("run") != EOB
-    dc, n_dc = flat(spent(res, [], "r")), res.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    count = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-
-    def line(name: str, n: DataFrame, each: int, h0: DataFrame, ctx: DataFrame) -> DataFrame:
-        return n.join(h0.withColumnRenamed("bits", "h0")).join(ctx.withColumnRenamed("bits", "ctx")).select(F.lit(name).alias("class"), (F.col("n") * each).alias("raw"), "h0", "ctx")
-
-    signs = count(mags)
-    sign_bits = signs.select(F.col("n").cast("double").alias("bits"))
-    parts = [
-        line("dc", n_dc, dc_bits, dc, dc),
-        line("run", count(runs.where(inner)), 7, flat(spent(runs, [], "run").where(inner)), flat(spent(runs, ["prev"], "run").where(inner))),
-        line("mag", signs, 8, flat(spent(mags, [], "mag")), flat(spent(mags, ["prev"], "mag"))),
-        line("sign", signs, 1, sign_bits, sign_bits),
-        line("eob", count(runs.where(end)), 7, flat(spent(runs, [], "run").where(end)), flat(spent(runs, ["prev"], "run").where(end))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    signs = F.when(F.col("mag").isNotNull(), 1).otherwise(0)
+    symbol = lambda stream, value, sign: F.struct(F.lit(stream).alias("stream"), value.alias("symbol"), sign.cast("int").alias("sign"))
+    both = F.array(symbol("run", F.col("run"), signs), F.when(F.col("mag").isNotNull(), symbol("mag", F.col("mag"), F.lit(0))))
+    rows = t.select("by", "bx", F.explode(F.array_compact(both)).alias("s")).select("by", "bx", "s.*")
+    rows = rows.unionByName(dc_residuals(blocks).select("by", "bx", F.lit("dc").alias("stream"), F.col("r").alias("symbol"), F.lit(0).alias("sign")))
+    counts = rows.groupBy("stream", "symbol").agg(F.count(F.lit(1)).alias("n"))
+    lengths = counts.select("stream", "symbol", code_length(F.col("n"), F.sum("n").over(Window.partitionBy("stream"))).alias("length"))
+    return rows.join(lengths, ["stream", "symbol"]).groupBy("by", "bx").agg(F.sum(F.col("length") + F.col("sign")).alias("bits"))
 
 
 def _cost(v: np.ndarray) -> np.ndarray:

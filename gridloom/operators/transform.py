@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, dequant_ac, dequant_dc, f32, quant_ac, quant_dc
-from ..functions.tables import BASIS, NN
+from ..functions.tables import BASIS, NN, ZIGZAG
 
 
 def blocks_of(plane: DataFrame, value: str = "v", keys: list[str] | None = None) -> DataFrame:
-    """(keys.., by, bx, w array<float>) from (y, x, v): one grouping by block; only whole blocks stay."""
+    """(keys.., by, bx, w array<float>) from (y, x, v): one grouping by block. The plane must be whole (see grid.pad_blocks); a block that isn't is an error."""
     i = (F.col("y") % 8 * 8 + F.col("x") % 8).cast("int")
     packed = plane.groupBy(*(keys or []), F.floor(F.col("y") / 8).cast("int").alias("by"), F.floor(F.col("x") / 8).cast("int").alias("bx")).agg(F.array_sort(F.collect_list(F.struct(i.alias("i"), f32(F.col(value)).alias("v")))).alias("s"))
-    return packed.where(F.size("s") == NN).withColumn("w", F.transform("s", lambda s: s["v"])).drop("s")
+    whole = F.when(F.size("s") == NN, F.col("s")).otherwise(F.raise_error(F.concat(F.lit("block "), "by", F.lit(","), "bx", F.lit(" isn't whole: pad the plane first"))))
+    return packed.withColumn("w", F.transform(whole, lambda s: s["v"])).drop("s")
 
 
 def pixels_of(blocks: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
@@ -100,6 +101,16 @@ def snap_blocks(plane: DataFrame, steps: list[int], dc_step: int, deadzone: bool
     return reconstruct(out, s, dc_step, deadzone)
 
 
+def recon_statistics(blocks: DataFrame, dc_bits: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys.., blocks, nonzeros, dc_only, clamped, ends, last_sum, raw_bits) of reconstructed blocks(sym, clamped): partial and final sums of counts within
+    the rows. ``ends`` are blocks that need an end token, ``last_sum`` the last nonzero positions of those that have any."""
+    at = F.filter(F.transform(steps_literal(ZIGZAG), lambda i, p: F.struct(p.alias("p"), F.element_at("sym", i + 1).alias("q"))), lambda s: (s["p"] > 0) & (s["q"] != 0))
+    shaped = blocks.select(*(keys or []), "clamped", F.size(at).alias("nz"), F.coalesce(F.try_element_at(at, F.lit(-1))["p"], F.lit(0)).alias("lnz"))
+    n, nonzeros, ends = F.count(F.lit(1)), F.sum("nz"), F.count_if(F.col("lnz") < NN - 1)
+    raw = n * dc_bits + 16 * nonzeros + 7 * ends + 4 * n
+    return shaped.groupBy(*(keys or [])).agg(n.alias("blocks"), nonzeros.alias("nonzeros"), F.count_if(F.col("nz") == 0).alias("dc_only"), F.sum("clamped").alias("clamped"), ends.alias("ends"), F.sum(F.when(F.col("nz") > 0, F.col("lnz"))).alias("last_sum"), raw.alias("raw_bits"))
+
+
 def reconstruct(blocks: DataFrame, steps: Column, dc_step: int, deadzone: bool) -> DataFrame:
     """blocks(sym) with the plane values that the symbols stand for, and how many of them were clamped to [-1, 1]."""
     back = blocks.withColumn("raw", F.transform(idct(dequantize(F.col("sym"), steps, dc_step, deadzone)), lambda v: f32(f32(v / 32) - f32(1.0))))

@@ -49,6 +49,11 @@ def plane_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.plane_of_arrays(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
 
 
+def padded_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plane E in whole 8 x 8 blocks."""
+    return G.pad_blocks(plane_e(spark, sf_dir), 64, table(spark, sf_dir, "embeddings").count())
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("c"), F.col("l_extendedprice").alias("v"))
 
@@ -199,11 +204,12 @@ def _unit(df: DataFrame, column: str) -> DataFrame:
     return df.select("y", "x", S.f32(S.f32(F.col(column)) + S.f32(0.5)).alias("v"))
 
 
-@query(f"{ERR_SQL} SELECT count(*) AS n, CAST(sum((a8 - b8) * (a8 - b8)) AS BIGINT) AS sse, round(sum((a8 - b8) * (a8 - b8)) / count(*), 6) AS mse, round(least(100, greatest(0, 10 * log10(65025.0 / (sum((a8 - b8) * (a8 - b8)) / count(*))))), 6) AS psnr FROM b WHERE x < 60")
+@query(f"{ERR_SQL} SELECT count(*) AS n, CAST(sum((a8 - b8) * (a8 - b8)) AS BIGINT) AS sse, round(sum((a8 - b8) * (a8 - b8)) / count(*), 6) AS mse, round(least(100, greatest(0, 10 * log10(65025.0 / (sum((a8 - b8) * (a8 - b8)) / count(*))))), 6) AS psnr FROM b")
 def mse_psnr_8bit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plane E against its quantised copy, without four columns of padding."""
-    s = symbols_e(spark, sf_dir)
-    out = M.mse_8bit(_unit(s, "v"), _unit(s, "q"), ["y", "x"], extent=(60, 1 << 40))
+    """Plane E against its quantised copy; both are padded, and the padding is left out."""
+    s, h = symbols_e(spark, sf_dir), table(spark, sf_dir, "embeddings").count()
+    padded = lambda c: G.pad_replicate(_unit(s, c), 64, h, 72, G.padded_size(h + 4, 8))
+    out = M.mse_8bit(padded("v"), padded("q"), ["y", "x"], extent=(64, h))
     return out.select("n", "sse", r6(F.col("mse")).alias("mse"), r6(F.col("psnr")).alias("psnr"))
 
 
@@ -281,11 +287,12 @@ def pack_all_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 16 x 16 texel grid from the first element rows of plane E."""
-    return plane_e(spark, sf_dir).where((F.col("y") < 16) & (F.col("x") < 16))
+    """A 16 x 16 texel grid of plane E: the largest value of each cell."""
+    h = table(spark, sf_dir, "embeddings").count()
+    return plane_e(spark, sf_dir).groupBy(F.floor(F.col("y") * 16 / h).cast("int").alias("y"), F.floor(F.col("x") / 4).cast("int").alias("x")).agg(F.max("v").alias("v"))
 
 
-COARSE = f"WITH {E_SQL}, c AS (SELECT * FROM e WHERE x < 16 AND y < 16), hh AS (SELECT count(*) AS h FROM embeddings)"
+COARSE = f"WITH {E_SQL}, hh AS (SELECT count(*) AS h FROM embeddings), c AS (SELECT y * 16 // h AS y, x // 4 AS x, max(v) AS v FROM e, hh GROUP BY 1, 2)"
 U_SQL = "CAST(CAST(CAST({p} AS FLOAT) + CAST(0.5 AS FLOAT) AS DOUBLE) / {n} AS FLOAT)"
 
 
@@ -293,24 +300,26 @@ def tap_sql(p: str, n: str, m: int) -> str:
     return f"CAST(CAST({U_SQL.format(p=p, n=n)} * CAST({m} AS FLOAT) AS FLOAT) - CAST(0.5 AS FLOAT) AS FLOAT)"
 
 
-@query(
-    f"""{COARSE}, p AS (SELECT y, x, {tap_sql('x', '64', 16)} AS sx, {tap_sql('y', 'h', 16)} AS sy FROM e, hh),
-t AS (SELECT y, x, CAST(floor(sx) AS INTEGER) AS ix, CAST(floor(sy) AS INTEGER) AS iy, CAST(sx - CAST(floor(sx) AS FLOAT) AS DOUBLE) AS fx, CAST(sy - CAST(floor(sy) AS FLOAT) AS DOUBLE) AS fy FROM p)
-SELECT t.y AS y, t.x AS x, round((1 - fx) * (1 - fy) * a.v + fx * (1 - fy) * b.v + (1 - fx) * fy * c1.v + fx * fy * d.v, 5) + 0.0 AS s FROM t
-JOIN c a ON a.x = greatest(0, least(15, ix)) AND a.y = greatest(0, least(15, iy)) JOIN c b ON b.x = greatest(0, least(15, ix + 1)) AND b.y = greatest(0, least(15, iy))
-JOIN c c1 ON c1.x = greatest(0, least(15, ix)) AND c1.y = greatest(0, least(15, iy + 1)) JOIN c d ON d.x = greatest(0, least(15, ix + 1)) AND d.y = greatest(0, least(15, iy + 1))"""
-)
+ONE = "CAST(1 AS FLOAT)"
+
+
+def blend_sql(pixels: str, texels: str, w: int | str, h: int | str, keep: str = "", values: tuple[str, ...] = ("v",)) -> str:
+    """A query for the bilinear samples of texels(y, x, v) at pixels(y, x, sx, sy, ..), float32 from left to right: s, or s_ and the name of each of several values."""
+    held = lambda c, n: f"greatest(0, least({n} - 1, {c}))"
+    blend = lambda v: f"({ONE} - fx) * ({ONE} - fy) * a.{v} + fx * ({ONE} - fy) * b.{v} + ({ONE} - fx) * fy * c1.{v} + fx * fy * d.{v}"
+    sums = f"{blend(values[0])} AS s" if len(values) == 1 else ", ".join(f"{blend(v)} AS s_{v}" for v in values)
+    corner = lambda name, dx, dy: f"LEFT JOIN {texels} {name} ON {name}.x = {held(f't.ix + {dx}', w)} AND {name}.y = {held(f't.iy + {dy}', h)}"
+    return f"""SELECT t.y AS y, t.x AS x{keep}, {sums}
+FROM (SELECT *, CAST(floor(sx) AS INTEGER) AS ix, CAST(floor(sy) AS INTEGER) AS iy, CAST(sx - CAST(floor(sx) AS FLOAT) AS FLOAT) AS fx, CAST(sy - CAST(floor(sy) AS FLOAT) AS FLOAT) AS fy FROM {pixels}) t
+{corner('a', 0, 0)} {corner('b', 1, 0)} {corner('c1', 0, 1)} {corner('d', 1, 1)}"""
+
+
+@query(f"{COARSE}, p AS (SELECT y, x, {tap_sql('x', '64', 16)} AS sx, {tap_sql('y', 'h', 16)} AS sy FROM e, hh) {blend_sql('p', 'c', 16, 16)}")
 def bilinear_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A coarse grid at every pixel of plane E, in double so that rounding to five digits agrees."""
+    """A coarse grid at every pixel of plane E, bit-equal in float32."""
     h = table(spark, sf_dir, "embeddings").count()
-    coarse = _coarse(spark, sf_dir).withColumn("v", F.col("v").cast("double"))
-    pixels = plane_e(spark, sf_dir).select("y", "x")
-    tx, ty = G.taps(F.col("x"), 64, 16), G.taps(F.col("y"), h, 16)
-    asked = pixels.withColumns({"x0": tx["lo"], "x1": tx["hi"], "y0": ty["lo"], "y1": ty["hi"], "fx": tx["f"].cast("double"), "fy": ty["f"].cast("double")})
-    for k, (a, b) in enumerate((("x0", "y0"), ("x1", "y0"), ("x0", "y1"), ("x1", "y1"))):
-        asked = asked.join(coarse.select(F.col("x").alias(a), F.col("y").cast("int").alias(b), F.col("v").alias(f"s{k}")), [a, b])
-    s = (1 - F.col("fx")) * (1 - F.col("fy")) * F.col("s0") + F.col("fx") * (1 - F.col("fy")) * F.col("s1") + (1 - F.col("fx")) * F.col("fy") * F.col("s2") + F.col("fx") * F.col("fy") * F.col("s3")
-    return asked.select("y", F.col("x").cast("long").alias("x"), F.round(s, 5).alias("s"))
+    out = G.sample(plane_e(spark, sf_dir).select("y", "x"), _coarse(spark, sf_dir), (64, h), (16, 16))
+    return out.select("y", F.col("x").cast("long").alias("x"), "s")
 
 
 @query(f"{COARSE}, p AS (SELECT y, x, CAST(floor({U_SQL.format(p='x', n='64')} * CAST(16 AS FLOAT)) AS INTEGER) AS tx, CAST(floor({U_SQL.format(p='y', n='h')} * CAST(16 AS FLOAT)) AS INTEGER) AS ty FROM e, hh) SELECT p.y AS y, p.x AS x, c.v AS s FROM p JOIN c ON c.x = greatest(0, least(15, tx)) AND c.y = greatest(0, least(15, ty))")
@@ -362,7 +371,9 @@ STEP_SQL = "[" + ", ".join(map(str, STEPS)) + "]"
 ZZ_SQL = "[" + ", ".join(map(str, T.ZIGZAG)) + "]"
 PLANE_SQL = "CAST(CAST(CAST(greatest(CAST(-1 AS FLOAT), least(CAST(1 AS FLOAT), v)) AS FLOAT) + CAST(1 AS FLOAT) AS FLOAT) * CAST(32 AS FLOAT) AS FLOAT)"
 FOLD = "list_reduce(list_prepend(CAST(0 AS FLOAT), list({x} ORDER BY {by})), lambda a, b: CAST(a + b AS FLOAT))"
-DCT_SQL = f"""WITH {E_SQL}, hh AS (SELECT count(*) // 8 * 8 AS h FROM embeddings), w AS (SELECT y // 8 AS "by", x // 8 AS bx, y % 8 AS i, x % 8 AS j, {PLANE_SQL} AS w FROM e, hh WHERE y < h),
+#: Plane E padded to a multiple of 8 by repeating its last row; 64 columns need no padding.
+PADDED_SQL = "pad AS (SELECT py AS y, e.x AS x, e.v AS v FROM (SELECT unnest(range((n + 7) // 8 * 8)) AS py, n FROM (SELECT count(*) AS n FROM embeddings)) p JOIN e ON e.y = least(p.py, p.n - 1))"
+DCT_SQL = f"""WITH {E_SQL}, {PADDED_SQL}, w AS (SELECT y // 8 AS "by", x // 8 AS bx, y % 8 AS i, x % 8 AS j, {PLANE_SQL} AS w FROM pad),
 bs AS (SELECT i // 8 AS u, i % 8 AS p, {BASIS_SQL}[i + 1] AS b FROM range(64) t(i)),
 p1 AS (SELECT "by", bx, i, u AS v, {FOLD.format(x='CAST(w * b AS FLOAT)', by='j')} AS t FROM w JOIN bs ON p = j GROUP BY "by", bx, i, u),
 f AS (SELECT "by", bx, bs.u AS u, v, {FOLD.format(x='CAST(t * b AS FLOAT)', by='i')} AS d FROM p1 JOIN bs ON p = i GROUP BY "by", bx, bs.u, v),
@@ -372,14 +383,14 @@ qs AS (SELECT *, CASE WHEN i = 0 THEN CAST(round_even(d / {DC_STEP}, 0) AS INTEG
 
 
 def blocks_e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plane E's whole blocks, coded with a dead zone at one quality and code."""
-    return X.snap_blocks(plane_e(spark, sf_dir), STEPS, DC_STEP, True)
+    """Plane E's blocks, coded with a dead zone at one quality and code."""
+    return X.snap_blocks(padded_e(spark, sf_dir), STEPS, DC_STEP, True)
 
 
 @query(f"{DCT_SQL} SELECT \"by\", bx, i, d AS coef FROM s")
 def dct_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bit-equal in float32."""
-    blocks = X.blocks_of(plane_e(spark, sf_dir).withColumn("p", X.to_plane(F.col("v"))), "p").withColumn("coef", X.dct(F.col("w")))
+    blocks = X.blocks_of(padded_e(spark, sf_dir).withColumn("p", X.to_plane(F.col("v"))), "p").withColumn("coef", X.dct(F.col("w")))
     return blocks.select(F.col("by").cast("long").alias("by"), F.col("bx").cast("long").alias("bx"), F.posexplode("coef").alias("i", "coef")).select("by", "bx", F.col("i").cast("long").alias("i"), "coef")
 
 
@@ -389,14 +400,51 @@ def dct_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks_e(spark, sf_dir).select(F.col("by").cast("long").alias("by"), F.col("bx").cast("long").alias("bx"), F.posexplode("sym").alias("i", "q")).select("by", "bx", F.col("i").cast("long").alias("i"), "q")
 
 
-@query(f"WITH {E_SQL}, hh AS (SELECT count(*) // 8 * 8 AS h FROM embeddings) SELECT y, x, round(CAST(v AS DOUBLE), 4) + 0.0 AS v, true AS close FROM e, hh WHERE y < h")
+def inverse_sql(source: str) -> str:
+    """CTE out(by, bx, i, j, w): the inverse transform of source(by, bx, i natural index, d), rows first, in float32."""
+    return f"""ct AS (SELECT "by", bx, i // 8 AS u, i % 8 AS v, d FROM {source}),
+iv AS (SELECT "by", bx, v, p AS i, {FOLD.format(x='CAST(d * b AS FLOAT)', by='ct.u')} AS t FROM ct JOIN bs ON bs.u = ct.u GROUP BY "by", bx, v, p),
+out AS (SELECT "by", bx, iv.i AS i, p AS j, {FOLD.format(x='CAST(t * b AS FLOAT)', by='iv.v')} AS w FROM iv JOIN bs ON bs.u = iv.v GROUP BY "by", bx, iv.i, p)"""
+
+
+@query(f"{DCT_SQL}, {inverse_sql('s')} SELECT \"by\" * 8 + out.i AS y, bx * 8 + out.j AS x, w.w AS there, out.w AS back FROM out JOIN w USING (\"by\", bx, i, j)")
 def dct_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forward and back without quantising gives the plane again."""
-    blocks = X.blocks_of(plane_e(spark, sf_dir).withColumn("p", X.to_plane(F.col("v"))), "p")
+    """Forward and back without quantising; both values, bit-equal in float32."""
+    blocks = X.blocks_of(padded_e(spark, sf_dir).withColumn("p", X.to_plane(F.col("v"))), "p")
     there = blocks.withColumn("back", X.idct(X.dct(F.col("w")))).select("by", "bx", F.arrays_zip("w", "back").alias("z"))
-    pixels = X.pixels_of(there, "z")
-    own = S.f32(F.col("v.w") / 32) - 1
-    return pixels.join(plane_e(spark, sf_dir).withColumnRenamed("v", "e"), ["y", "x"]).select("y", F.col("x").cast("long").alias("x"), F.round(F.col("e").cast("double"), 4).alias("v"), ((F.abs(F.col("v.w") - F.col("v.back")) < 1e-4) & (F.abs(own - F.col("e")) < 1e-5)).alias("close"))
+    return X.pixels_of(there, "z").select("y", F.col("x").cast("long").alias("x"), F.col("v.w").alias("there"), F.col("v.back").alias("back"))
+
+
+DEQUANT_SQL = f"""CASE WHEN i = 0 THEN CAST(q * {DC_STEP} AS FLOAT) WHEN i IN (1, 8) THEN CAST(q * l AS FLOAT) WHEN q = 0 THEN CAST(0 AS FLOAT) ELSE CAST(sign(q) * (l * 0.5 + abs(q) * l) AS FLOAT) END"""
+
+
+@query(f'{DCT_SQL} SELECT "by", bx, i, {DEQUANT_SQL} AS val FROM qs')
+def dct_dequantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the symbols of each block stand for."""
+    blocks = blocks_e(spark, sf_dir).withColumn("val", X.dequantize(F.col("sym"), X.steps_literal(STEPS), DC_STEP, True))
+    return blocks.select(F.col("by").cast("long").alias("by"), F.col("bx").cast("long").alias("bx"), F.posexplode("val").alias("i", "val")).select("by", "bx", F.col("i").cast("long").alias("i"), "val")
+
+
+RECON_SQL = f"""{DCT_SQL}, dq AS (SELECT "by", bx, i, {DEQUANT_SQL} AS d FROM qs), {inverse_sql('dq')},
+rec AS (SELECT "by", bx, "by" * 8 + i AS y, bx * 8 + j AS x, CAST(CAST(CAST(w AS DOUBLE) / 32 AS FLOAT) - CAST(1 AS FLOAT) AS FLOAT) AS raw FROM out)"""
+
+
+@query(f"{RECON_SQL} SELECT y, x, raw, greatest(CAST(-1 AS FLOAT), least(CAST(1 AS FLOAT), raw)) AS zq FROM rec")
+def dct_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plane that the symbols stand for, before and after the clamp."""
+    both = blocks_e(spark, sf_dir).select("by", "bx", F.arrays_zip("raw", "zq").alias("z"))
+    return X.pixels_of(both, "z").select("y", F.col("x").cast("long").alias("x"), "v.raw", "v.zq")
+
+
+@query(
+    f"""{RECON_SQL}, zp AS (SELECT "by", bx, CAST(list_position({ZZ_SQL}, i) - 1 AS INTEGER) AS p, q FROM qs),
+b AS (SELECT "by", bx, count(*) FILTER (WHERE q <> 0 AND p > 0) AS nz, coalesce(max(p) FILTER (WHERE q <> 0 AND p > 0), 0) AS lnz FROM zp GROUP BY "by", bx)
+SELECT count(*) AS blocks, CAST(sum(nz) AS BIGINT) AS nonzeros, count(*) FILTER (WHERE nz = 0) AS dc_only, (SELECT count(*) FROM rec WHERE raw < -1 OR raw > 1) AS clamped, count(*) FILTER (WHERE lnz < 63) AS ends, CAST(sum(lnz) FILTER (WHERE nz > 0) AS BIGINT) AS last_sum,
+CAST(count(*) * {T.dc_raw_bits(DC_STEP)} + 16 * sum(nz) + 7 * count(*) FILTER (WHERE lnz < 63) + 4 * count(*) AS BIGINT) AS raw_bits FROM b"""
+)
+def recon_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a decoder counts while it rebuilds a level."""
+    return X.recon_statistics(blocks_e(spark, sf_dir), T.dc_raw_bits(DC_STEP))
 
 
 _SCALE_SQL = "[" + ", ".join(f"CAST({float(v)!r} AS FLOAT)" for v in T.SCALES) + "]"
@@ -529,26 +577,34 @@ def fnv1a_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "event_type", S.fnv1a32(F.col("event_type").cast("binary")).alias("h"))
 
 
-NET = D.Network.drawn((4, 6, 3), SEED)
+@query("SELECT doc_id, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(octet_length(encode(coalesce(text, '')))), lambda i: CAST('0x' || substr(hex(encode(text)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda h, b: CAST((xor(h, b) * 16777619) & 4294967295 AS BIGINT)) AS BIGINT) AS h FROM documents")
+def fnv1a_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A24 over long inputs: the bytes of whole texts, in Arrow batches."""
+    return table(spark, sf_dir, "documents").select("doc_id", B.fnv1a_column(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
+
 
+NET = D.Network.drawn((64, 6, 3), SEED)
+#: A network over the four channels of a texel.
+TEXEL_NET = D.Network.drawn((4, 6, 3), SEED)
 
-def network_sql(net: D.Network, source: str) -> str:
-    """CTEs l0.. that put the network's layers on list column f of ``source``; the last has column f again."""
+
+def network_sql(net: D.Network, source: str, name: str = "l") -> tuple[str, str]:
+    """CTEs l0.. that put the network's layers on list column f of ``source``, and the last one's name; it has column f again."""
     parts, at = [], source
     for k, (w, b, last) in enumerate(net.layers()):
         sums = [" + ".join([f"({float(bias)!r})", *(f"({float(v)!r}) * f[{i + 1}]" for i, v in enumerate(row))]) for row, bias in zip(w, b, strict=True)]
         act = (lambda s: f"1 / (1 + exp(-({s})))") if last else (lambda s: f"CASE WHEN {s} > 0 THEN {s} ELSE {net.leak} * ({s}) END")
-        parts.append(f"l{k} AS (SELECT * EXCLUDE (f), [{', '.join(map(act, sums))}] AS f FROM {at})")
-        at = f"l{k}"
+        parts.append(f"{name}{k} AS (SELECT * EXCLUDE (f), [{', '.join(map(act, sums))}] AS f FROM {at})")
+        at = f"{name}{k}"
     return ", ".join(parts), at
 
 
 _NET_CTES, _NET_LAST = network_sql(NET, "src")
-NET_SQL = f"WITH src AS (SELECT vec_id, embedding, list_transform(list_slice(embedding, 1, 4), lambda v: CAST(v AS DOUBLE)) AS f FROM embeddings), {_NET_CTES}"
+NET_SQL = f"WITH src AS (SELECT vec_id, embedding, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS f FROM embeddings), {_NET_CTES}"
 
 
 def net_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("f"), F.transform(F.slice("embedding", 5, 3), lambda v: v.cast("double") + 0.5).alias("target"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("f"), F.transform(F.slice("embedding", 5, 3), lambda v: v.cast("double") + 0.5).alias("target"))
 
 
 @query(f"{NET_SQL} SELECT vec_id, [round(f[1], 6), round(f[2], 6), round(f[3], 6)] AS out FROM {_NET_LAST}")
@@ -614,15 +670,23 @@ def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]
     """Pixels of plane E with a three-value target, and a nearest 16 x 16 texel grid of 4 channels."""
     h = table(spark, sf_dir, "embeddings").count()
     pixels = plane_e(spark, sf_dir).select("y", "x", F.array(*(F.col("v").cast("double") + 0.5 for _ in range(3))).alias("target"))
-    texels = plane_e(spark, sf_dir).where(F.col("y") < 16).select("y", F.floor(F.col("x") / 4).cast("int").alias("x"), (F.col("x") % 4).alias("c"), "v")
+    cell = (F.floor(F.col("y") * 16 / h).cast("int").alias("y"), F.floor(F.col("x") / 4).cast("int").alias("x"), (F.col("x") % 4).alias("c"))
+    texels = plane_e(spark, sf_dir).groupBy(*cell).agg(F.max("v").alias("v"))
     return pixels, texels, h
 
 
+@query()
+def latent_es_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a bilinear level, whose pixels read up to four texels."""
+    pixels, texels, h = _cells(spark, sf_dir)
+    return TR.latent_es_gradient(pixels, texels, TEXEL_NET, (64, h), (16, 16), pairs=4, sigma=0.05, seed=SEED, step=1, nearest=False)
+
+
 @query()
 def latent_es_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient of all texel values from 4 antithetic pairs."""
     pixels, texels, h = _cells(spark, sf_dir)
-    return TR.latent_es_gradient(pixels, texels, NET, (64, h), (16, 16), pairs=4, sigma=0.05, seed=SEED, step=1)
+    return TR.latent_es_gradient(pixels, texels, TEXEL_NET, (64, h), (16, 16), pairs=4, sigma=0.05, seed=SEED, step=1)
 
 
 @query(
@@ -639,32 +703,36 @@ def grid_argmin_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TR.argmin_search(losses, ["ty", "tx"], "k", "loss", "cur")
 
 
-@query()
+def sensitivity_sql(net: D.Network, out: str) -> str:
+    """CTEs, the last of them out(block, gain, code): the probe of input 1 over the vectors of src(vec_id, f)."""
+    ctes, last = network_sql(net, f"{out}_in", f"{out}_l")
+    return f"""{out}_in AS (SELECT vec_id, k, list_concat([CAST(k AS DOUBLE) / 2 - 1], list_slice(f, 2, len(f))) AS f FROM src, range(5) r(k)), {ctes},
+{out}_g AS (SELECT a.vec_id, avg(((b.f[1] - a.f[1]) ** 2 + (b.f[2] - a.f[2]) ** 2 + (b.f[3] - a.f[3]) ** 2) / 3) * (255.0 / 16) ** 2 AS g2 FROM {last} a JOIN {last} b ON a.vec_id = b.vec_id AND b.k = a.k + 1 GROUP BY a.vec_id),
+{out}_b AS (SELECT vec_id // 8 AS block, sqrt(avg(g2)) AS gain FROM {out}_g GROUP BY 1),
+{out} AS (SELECT block, gain, greatest(0, least(15, CAST(round(log2(greatest(gain, {T.GAIN_FLOOR}) / {T.GAIN_FLOOR}) / 0.6) AS INTEGER))) AS code FROM {out}_b)"""
+
+
+VECTORS_SQL = "WITH src AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS f FROM embeddings)"
+
+
+def probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return net_inputs(spark, sf_dir).select(F.floor(F.col("vec_id") / 8).alias("block"), "f")
+
+
+@query(f"{VECTORS_SQL}, {sensitivity_sql(NET, 'sens')} SELECT block, round(gain, 6) AS gain, code FROM sens")
 def sensitivity_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scale code of each block of vectors."""
-    rows = net_inputs(spark, sf_dir).select(F.floor(F.col("vec_id") / 8).alias("block"), "f")
-    out = TR.sensitivity_codes(rows, NET, 0, ["block"])
+    """The scale code of each block of vectors."""
+    out = TR.sensitivity_codes(probe_rows(spark, sf_dir), NET, 0, ["block"])
     return out.select("block", F.round("gain", 6).alias("gain"), "code")
 
 
 @query(
     f"""WITH rows AS (SELECT label, vec_id AS y, unnest(range(64)) AS x, CAST(unnest(embedding) AS FLOAT) AS v FROM embeddings), rg AS (SELECT label, min(v) AS lo, max(v) AS hi, greatest(CAST(max(v) - min(v) AS FLOAT), CAST(1e-6 AS FLOAT)) AS width FROM rows GROUP BY label),
 s AS (SELECT label, y, x, {index_sql(15)} AS k FROM rows JOIN rg USING (label))
-SELECT label, count(*) AS n, CAST(sum(k) AS BIGINT) AS sum_k, true AS same, CAST(count(*) * 4 + 16 * {D.Network.count((1, 6, 3))} AS BIGINT) AS content_bits, true AS exact FROM s GROUP BY label"""
+SELECT label, dense_rank() OVER (PARTITION BY label ORDER BY y) - 1 AS row, x, CAST(k AS BIGINT) AS k, CAST(count(*) OVER (PARTITION BY label) * 4 + 16 * {D.Network.count((1, 6, 3))} AS BIGINT) AS content_bits FROM s"""
 )
 def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A container per label, read back; its content bits against those of the symbols."""
+    """A container per label, read back: every symbol, and the content bits."""
     rows = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "v"))
     symbols = Q.quantize_posthoc(rows.select("label", "y", "x", S.f32(F.col("v")).alias("v")), "label", "v", BITS)
-    network = D.Network.drawn((1, 6, 3), SEED)
-    packed = C.pack_planes(symbols, "label", BITS, network)
-    back = C.unpack_planes(packed, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("sum_k"), F.max("content_bits").alias("content_bits"), F.sum(F.xxhash64("row", "x", "k") % 1000003).alias("h"))
-    lines = symbols.select("label", "y").distinct().select("label", "y", (F.row_number().over(_by_label()) - 1).cast("long").alias("row"))
-    own = symbols.join(lines, ["label", "y"]).groupBy("label").agg(F.sum(F.xxhash64("row", F.col("x").cast("long"), F.col("k").cast("long")) % 1000003).alias("h0"), (F.count(F.lit(1)) * BITS + 16 * len(network.weights)).alias("bits"))
-    return back.join(own, "label").select("label", "n", "sum_k", (F.col("h") == F.col("h0")).alias("same"), "content_bits", (F.col("content_bits") == F.col("bits")).alias("exact"))
-
-
-def _by_label():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("label").orderBy("y")
+    return C.unpack_planes(C.pack_planes(symbols, "label", BITS, D.Network.drawn((1, 6, 3), SEED)), "label")
