@@ -7,9 +7,10 @@ filter can do and a Bloom filter cannot. delete(insert(x)) restores counts and v
 
 Applying the state reads each text once: lines that a filter knows are dropped at once, and their keys are
 noted. The noted keys are checked against the exact table; documents in which a filter gave a false alarm
-(about 1 line in 8000) are done again without it. Filters are broadcast in rounds of at most
-``max_filter_bytes``; each round drops the lines of its own shards, so more state means more rounds, not more
-memory. Counts are partially summed per batch and per task, so one line in a third of all documents is cheap.
+(about 1 line in 8000) are done again without it. Filters are read and broadcast in rounds of at most
+``max_filter_bytes`` (or one shard); each round drops the lines of its own shards and is written before the next one's filters
+are read, so more state means more rounds, not more memory. Counts are partially summed per part of a batch and per task, so one line in
+a third of all documents is cheap. Texts are taken apart a few megabytes at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ASCII_LOWER, materialize, shuffle_width, table
+from .prefilter import Filter
+from .shared import ASCII_LOWER, by_bytes, forget, materialize, shuffle_width, table
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -77,6 +79,22 @@ class CuckooFilter:
             self.slots[bucket, free[0]] = fingerprint
         return bool(len(free))
 
+    def fill(self, seeds: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """Enter keys wherever their first bucket, then their second, has a free slot; the indices of those for which neither had."""
+        left = np.arange(len(seeds))
+        for second in (False, True):
+            bucket = seeds[left] & self.mask
+            bucket = _other(bucket, prints[left], self.mask) if second else bucket
+            order = np.argsort(bucket, kind="stable")
+            sorted_buckets = bucket[order]
+            new = np.flatnonzero(np.concatenate([[True], sorted_buckets[1:] != sorted_buckets[:-1]])) if len(order) else np.zeros(0, np.int64)
+            rank = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
+            slot = (self.slots[sorted_buckets] != 0).sum(axis=1) + rank  # slots are taken from the first on
+            fits = slot < SLOTS
+            self.slots[sorted_buckets[fits], slot[fits]] = prints[left[order[fits]]]
+            left = left[order[~fits]]
+        return left
+
     def insert(self, seed: int, fingerprint: int) -> bool:
         """False where the filter is too full; its content is then no longer complete and it must be rebuilt."""
         bucket = seed & self.mask
@@ -103,19 +121,23 @@ def _as_words(keys: list[bytes]) -> np.ndarray:
 
 
 def _filled(keys: list[bytes], n_shards: int) -> bytes:
-    """A filter of these keys of one shard; doubled until all fit."""
+    """A filter of these keys of one shard; doubled until all fit.
+
+    Keys that find room in one of their buckets are entered all at once; only those that meet full buckets are entered one by one.
+    """
     _, seeds, prints = _parts(_as_words(keys), n_shards)
     n = len(keys)
     while True:
         built = CuckooFilter.sized(n)
-        if all(built.insert(s, p) for s, p in zip(seeds.tolist(), prints.tolist(), strict=True)):
+        left = built.fill(seeds, prints)
+        if all(built.insert(s, p) for s, p in zip(seeds[left].tolist(), prints[left].tolist(), strict=True)):
             return built.dumps()
         n *= 2
 
 
 def _count_lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 0):
             n: Counter = Counter()
             for value in batch.column(0):
                 n.update({xxhash.xxh3_128_digest(k) for k in {line_key(x) for x in (value.as_py() or b"").split(b"\n")} if long_enough(k, min_chars)})
@@ -216,39 +238,56 @@ class LineIndex:
         return LineIndex(refs, materialize(filters, "line-filters"), self.n_shards, self.min_docs, self.min_chars, self.max_filter_bytes)
 
     def _rounds(self) -> Iterator[dict[int, bytes]]:
+        """The filters, some at a time."""
         group: dict[int, bytes] = {}
-        for row in self.filters.toLocalIterator():
-            if group and sum(map(len, group.values())) + len(row["filter"]) > self.max_filter_bytes:
+        size = 0
+        for row in self.filters.toLocalIterator():  # one partition at a time
+            if group and size + len(row["filter"]) > self.max_filter_bytes:
                 yield group
-                group = {}
+                group, size = {}, 0
             group[row["shard"]] = bytes(row["filter"])
+            size += len(row["filter"])
         yield group
 
+    def _passes(self, frame: DataFrame, text_col: str, digest_only: bool) -> DataFrame:
+        """``frame`` after all rounds, written; of what was written between rounds nothing stays."""
+        spark, before, rounds = frame.sparkSession, None, self._rounds()
+        group = next(rounds)
+        while group is not None:
+            after = next(rounds, None)
+            shared = spark.sparkContext.broadcast((group, self.n_shards))  # max_filter_bytes, or one shard
+            frame = materialize(_one_round(frame, text_col, shared, self.min_chars, digest_only and after is None), "line-pass")
+            shared.unpersist()
+            if before is not None:
+                forget(spark, before)
+            before, group = frame, after
+        return frame
+
     def apply(self, docs: DataFrame, *, text_col: str = "text", digest_only: bool = False) -> DataFrame:
         """docs with frequent lines dropped from ``text_col``, plus __n_lines and __n_dropped (longs).
 
         With ``digest_only`` the text column holds the lowercase hex SHA-256 of what stays. All other columns pass
-        unchanged, whatever their names (but for those that begin with two underscores, which are reserved).
+        unchanged, of whatever type and name (but for those that begin with two underscores, which are reserved).
         """
         spark = docs.sparkSession
-        key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")))
-        work = docs.withColumns({"__row": key, "__n_lines": F.lit(0).cast("long"), "__n_dropped": F.lit(0).cast("long"), "__hits": F.array().cast("array<binary>")})
-        start, groups = work, list(self._rounds())
-        probes = [spark.sparkContext.broadcast((g, self.n_shards)) for g in groups]
-
-        def passes(frame: DataFrame) -> DataFrame:
-            for k, shared in enumerate(probes):
-                frame = _one_round(frame, text_col, shared, self.min_chars, digest_only and k == len(probes) - 1)
-            return frame
-
-        done = materialize(passes(start), "line-pass")
+        # What is dropped hangs on the text alone, so its hash names the rows that must be done again.
+        start = docs.withColumns({"__row": F.xxhash64(F.col(f"`{text_col}`")), "__n_lines": F.lit(0).cast("long"), "__n_dropped": F.lit(0).cast("long"), "__hits": F.array().cast("array<binary>")})
+        done = self._passes(start, text_col, digest_only)
         # Few keys, and written first: the join that finds their documents is then planned by their size.
-        wrong = materialize(done.select(F.explode("__hits").alias("key")).distinct().join(self.refs.where(F.col("refs") >= self.min_docs), "key", "left_anti"), "false-alarms")
+        hit = done.select(F.explode("__hits").alias("key")).distinct()
+        wrong = materialize(hit.join(self.refs.where(F.col("refs") >= self.min_docs), "key", "left_anti"), "false-alarms")
         redo = materialize(done.select("__row", F.explode("__hits").alias("key")).join(wrong, "key", "left_semi").groupBy("__row").agg(F.collect_set("key").alias("__spare")), "line-redo")
         if redo.isEmpty():
+            forget(spark, wrong, redo)
             return done.drop("__row", "__hits")
-        again = passes(start.join(redo, "__row")).drop("__spare")
-        return done.join(redo.select("__row"), "__row", "left_anti").unionByName(again).drop("__row", "__hits")
+        maybe = Filter(redo.select("__row"))
+        sought = redo.select(F.col("__row").alias("__again"), "__spare")
+        # Only texts that may have to be done again shuffle, if the joins do.
+        again = maybe.mark(start, F.col("__row"), "__maybe").where("__maybe").drop("__maybe").join(sought, F.col("__row") == F.col("__again")).drop("__again")
+        again = self._passes(again, text_col, digest_only).drop("__spare")
+        marked = maybe.mark(done, F.col("__row"), "__maybe")
+        right = marked.where("not __maybe").unionByName(marked.where("__maybe").join(sought, F.col("__row") == F.col("__again"), "left_anti")).drop("__maybe")
+        return right.unionByName(again).drop("__row", "__hits")
 
 
 def _one_round(frame: DataFrame, text_col: str, shared, min_chars: int, digest: bool) -> DataFrame:
@@ -258,7 +297,7 @@ def _one_round(frame: DataFrame, text_col: str, shared, min_chars: int, digest:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = Probe(*shared.value)
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             texts = [(v.as_py() or "").encode() for v in batch.column(at)]
             spared = [set(x) for x in batch.column(spare).to_pylist()] if spare is not None else [set()] * len(texts)
             rows = _drop(texts, probe, min_chars, spared)
@@ -267,9 +306,12 @@ def _one_round(frame: DataFrame, text_col: str, shared, min_chars: int, digest:
             columns[n] = pa.array([old or r[1] for r, old in zip(rows, batch.column(n).to_pylist(), strict=True)], pa.int64())
             columns[d] = pa.array([r[2] + old for r, old in zip(rows, batch.column(d).to_pylist(), strict=True)], pa.int64())
             columns[h] = pa.array([old + r[3] for r, old in zip(rows, batch.column(h).to_pylist(), strict=True)], pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=list(names))
+            yield pa.RecordBatch.from_arrays(columns, names=plain)
 
-    return frame.mapInArrow(run, frame.schema)
+    # By place: mapInArrow() cannot take names with dots.
+    plain = [f"c{k}" for k in range(len(names))]
+    renamed = frame.toDF(*plain)
+    return renamed.mapInArrow(run, renamed.schema).toDF(*names)
 
 
 def _shard(n_shards: int) -> F.Column:
@@ -286,15 +328,24 @@ def _counted(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
 
 def _filters(frequent: DataFrame, n_shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        """Keys come in order of shard, so one shard is held at a time."""
+        now, held = None, []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_filled(held, n_shards)], pa.binary())], names=["shard", "filter"])
+
         for batch in batches:
             for shard, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(shard, []).append(key)
+                if shard != now and held:
+                    yield made()
+                    held = []
+                now = shard
+                held.append(key)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([_filled(k, n_shards) for k in held.values()], pa.binary())], names=["shard", "filter"])
+            yield made()
 
     width = min(n_shards, shuffle_width(frequent.sparkSession))
-    return frequent.select(_shard(n_shards).alias("shard"), "key").repartition(width, "shard").mapInArrow(run, "shard int, filter binary")
+    return frequent.select(_shard(n_shards).alias("shard"), "key").repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, filter binary")
 
 
 def dedup_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -315,14 +366,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
-  FROM documents
+  SELECT doc_id, row, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
+  FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents)
 ), k AS (
   SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
 ), f AS (
-  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id, row
 """

@@ -1,67 +1,77 @@
-"""Keeping wide rows out of a join: a bounded Bloom filter splits them into those that surely have no partner and the rest.
+"""Keeping wide rows out of a join: a bounded Bloom filter, in DataFrame functions, marks those that surely have no partner.
 
-Joining a narrow table of keys to documents would shuffle every text. Here the keys go into one Bloom filter, the rows that it rules out pass
-straight, and only the rest shuffle and are joined exactly. The filter has 16 bits a key and ``max_bytes`` at most; with more keys
-than that it rules out less, and never anything wrongly.
+Joining a narrow table of keys to documents would shuffle every text. Here the keys set bits of a table (word, bits) of at most
+``max_words`` rows; each row looks up its own two bits by joins with that table, which its bound allows to broadcast. Rows that it
+rules out pass straight; only the others shuffle and are joined exactly. With more keys than the bound has room for it rules out less, and
+never anything wrongly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width
-
-PROBES = 4
-BLOCK = 1 << 16
-
-
-def _cells(keys: np.ndarray, n_cells: int) -> np.ndarray:
-    """PROBES cells of each 64-bit key, an array of shape (keys, PROBES)."""
-    k = keys.view(np.uint64)
-    out = np.empty((len(k), PROBES), np.int64)
-    for p in range(PROBES):
-        k = (k ^ (k >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        out[:, p] = ((k >> np.uint64(32)) * np.uint64(n_cells) >> np.uint64(32)).astype(np.int64)
-    return out
-
-
-def may_be_in(keys: DataFrame, column: Column, *, max_bytes: int = 16 << 20) -> Column:
-    """A boolean column: false where ``column`` (a long) surely isn't among the values of ``keys`` (one long column)."""
-    spark = keys.sparkSession
-    n = keys.count()
-    n_cells = min(max_bytes * 8, max(BLOCK, -(-16 * n // BLOCK) * BLOCK))
-
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell = np.unique(_cells(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n_cells))
-            block, start = np.unique(cell // BLOCK, return_index=True)
-            parts = np.split((cell % BLOCK).astype("<u2"), start[1:]) if len(cell) else []
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "cells"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen.setdefault(block, np.zeros(BLOCK, bool))[np.frombuffer(cells, "<u2")] = True
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in seen.values()], pa.binary())], names=["block", "bits"])
-
-    rows = keys.toDF("k").where("k is not null").mapInArrow(enter, "block long, cells binary").repartition(min(shuffle_width(spark), n_cells // BLOCK), "block").mapInArrow(merge, "block long, bits binary")
-    bits = np.zeros(n_cells // 8, np.uint8)
-    for row in rows.toLocalIterator():  # at most max_bytes in all
-        bits[row["block"] * (BLOCK // 8) : (row["block"] + 1) * (BLOCK // 8)] = np.frombuffer(row["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(bits.tobytes())
-
-    @F.pandas_udf("boolean")
-    def test(values: pd.Series) -> pd.Series:
-        held = np.frombuffer(shared.value, np.uint8)
-        cell = _cells(values.to_numpy(np.int64), n_cells)
-        return pd.Series(((held[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).all(axis=1))
-
-    return test(F.coalesce(column, F.lit(0)))
+from .shared import forget, materialize
+
+PROBES = 2
+BITS_PER_KEY = 32
+LEAST_WORDS = 16
+
+
+def _cell(key: Column, probe: int, n_words: int) -> Column:
+    """One of 64 x n_words bits for a long; n_words is a power of two."""
+    return F.xxhash64(key, F.lit(probe)).bitwiseAND(F.lit(64 * n_words - 1))
+
+
+def _bit(cell: Column) -> Column:
+    """1 shifted to a cell's place in its word; the shift is not a constant, so it is written as an SQL function."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)).cast("int"))
+
+
+class Filter:
+    """The filter of ``keys`` (one column of longs; nulls are left out)."""
+
+    def __init__(self, keys: DataFrame, max_words: int = 1 << 18):
+        keys = keys.toDF("k").where("k is not null")
+        most = max(LEAST_WORDS, min(max_words, keys.count() * BITS_PER_KEY // 64))
+        self.n_words = 1 << (most.bit_length() - 1)
+        cells = F.explode(F.array(*(_cell(F.col("k"), p, self.n_words) for p in range(PROBES))))
+        words = keys.select(cells.alias("c")).groupBy(F.shiftright("c", 6).alias("word")).agg(F.bit_or(_bit(F.col("c"))).alias("bits"))
+        self.words = materialize(words, "filter-words")
+
+    def mark(self, rows: DataFrame, key: Column, name: str) -> DataFrame:
+        """``rows`` with a boolean column ``name``: false where ``key`` (a long) surely isn't among the keys."""
+        out = rows.withColumn(f"{name}_k", key)
+        for p in range(PROBES):
+            cell = _cell(F.col(f"{name}_k"), p, self.n_words)
+            side = self.words.select(F.col("word").alias(f"{name}_w{p}"), F.col("bits").alias(f"{name}_b{p}"))
+            # n_words rows at most.
+            out = out.join(F.broadcast(side), F.shiftright(cell, 6) == F.col(f"{name}_w{p}"), "left")
+        hit = [F.coalesce(F.col(f"{name}_b{p}"), F.lit(0)).bitwiseAND(_bit(_cell(F.col(f"{name}_k"), p, self.n_words))) != 0 for p in range(PROBES)]
+        told = F.col(f"{name}_k").isNotNull()
+        for h in hit:
+            told = told & h
+        return out.select(*(F.col(f"`{c}`") for c in rows.columns), told.alias(name))
+
+    def forget(self) -> None:
+        forget(self.words.sparkSession, self.words)
+
+
+def free_name(df: DataFrame, like: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(like.lower()) for c in taken):
+        like = f"_{like}"
+    return like
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_hash: Column) -> DataFrame:
+    """docs less the rows whose id and xxhash64 of the text are in ``gone`` (columns id and hash, each pair once).
+
+    Null ids match null ids. All columns pass as they were, whatever their names. Only rows that may have to go shuffle, if the join does.
+    """
+    m = free_name(docs, "__gone")
+    marked = Filter(gone.select("hash")).mark(docs.withColumn(f"{m}h", text_hash), F.col(f"{m}h"), m)
+    sought = gone.select(F.col("id").alias(f"{m}i"), F.col("hash").alias(f"{m}g"))
+    left = marked.where(F.col(m)).join(sought, F.col(f"`{id_col}`").eqNullSafe(F.col(f"{m}i")) & (F.col(f"{m}h") == F.col(f"{m}g")), "left_anti")
+    return marked.where(~F.col(m)).unionByName(left).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .prefilter import may_be_in
-from .shared import ASCII_LOWER, materialize, shuffle_width, table
+from .prefilter import Filter, without
+from .shared import ASCII_LOWER, by_bytes, forget, materialize, shuffle_width, table
 
 SEED = 42
 TILE = 2048
+#: Rows of five numbers, at most 40 MB, that may be broadcast.
+BROADCAST_ROWS = 500_000
 #: Query and word pairs compared at once: bounds the memory of a comparison.
 PAIRS = 1 << 16
 
@@ -210,7 +212,7 @@ def block_keys(fp: Column, radius: int, n_blocks: int) -> Column:
 
 def _fingerprints(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             prints = [fingerprint(shingle_hashes(v.as_py() or b"", width)) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["id", "fp"])
 
@@ -257,7 +259,7 @@ def _signatures(width: int) -> Callable:
     multipliers = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, N_KEYS, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             prints, sizes, digests, keys = [], [], [], []
             for v in batch.column(2):
                 s = _set_of(v.as_py() or b"", width)
@@ -271,15 +273,6 @@ def _signatures(width: int) -> Callable:
     return run
 
 
-def _sets(width: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_set_of(v.as_py() or b"", width).astype("<u8").tobytes() for v in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sets, pa.binary())], names=["root", "node", "fp", "shingles"])
-
-    return run
-
-
 def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> Iterator[tuple[int, int]]:
     """Links that span the groups in which each document has a Jaccard similarity of ``similarity`` or more to another one.
 
@@ -313,22 +306,24 @@ def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, simil
                 yield i, j
 
 
-def _verify(radius: int, similarity: float) -> Callable:
-    """Streams rows (root, i, j, node, fp, shingles) sorted by group; yields verified links (a, b)."""
+def _verify(width: int, radius: int, similarity: float) -> Callable:
+    """Streams rows (root, i, j, node, fp, text) sorted by group; yields verified links (a, b). Sets are made here: texts are smaller on the way."""
 
     def links(rows: list[tuple]) -> pa.RecordBatch:
-        nodes = [r[3] for r in rows]
-        found = list(similar_links(np.array([r[4] for r in rows], np.int64).view(np.uint64), [np.frombuffer(r[5], "<u8") for r in rows], radius, similarity))
+        nodes = [r[0] for r in rows]
+        found = list(similar_links(np.array([r[1] for r in rows], np.int64).view(np.uint64), [r[2] for r in rows], radius, similarity))
         return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][:3] != row[:3]:
+        group = None
+        for batch in by_bytes(batches, 5):
+            for *key, node, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != group and held:
                     yield links(held)
                     held = []
-                held.append(row)
+                group = key
+                held.append((node, fp, _set_of(text or b"", width)))
         if held:
             yield links(held)
 
@@ -341,7 +336,8 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Two documents are linked when the sets of their ``width``-word shingles (all words, where there are fewer) have a Jaccard similarity
     of ``similarity`` or more; the document with the smallest id of each connected group stays. Two linked ones share one of six
     minimum hashes with probability 1 - 0.2**6 at a similarity of 0.8, and the fingerprints of their sets lie within 20 of 64 bits with
-    more than 0.999; what is found is checked exactly. Texts without words are copies of each other. A null id is never kept where another is there.
+    more than 0.999; what is found is checked exactly. Texts without words, null or empty, are copies of each other; so are repeated rows. A null id is
+    never kept where another is there. Other columns are not read. A text of any length is compared whole; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
@@ -350,26 +346,33 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     near = components(candidate_links(nodes.select(F.explode("keys").alias("key"), "node", "fp"), radius))
     asked = materialize(near.join(nodes, "node").select("root", "node", "fp", F.col("any.id").alias("i"), F.col("any.hash").alias("h")), "near-texts")
     # Only texts that may be asked for shuffle.
-    wanted = rows.where(may_be_in(asked.select("h"), F.col("hash")))
-    fetched = wanted.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")))
-    sets = fetched.select("root", "node", "fp", "text").mapInArrow(_sets(width), "root long, node long, fp long, shingles binary")
+    wanted = Filter(asked.select("h"))
+    # Where the narrow side is of a size that any executor holds, texts need not move to meet it; beyond that Spark plans the join by size.
+    small = asked.schema["i"].dataType.simpleString() in ("int", "bigint") and asked.count() <= BROADCAST_ROWS
+    fetched = wanted.mark(rows, F.col("hash"), "maybe").where("maybe").join(F.broadcast(asked) if small else asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")))
     big = materialize(asked.groupBy("root").count().where(F.col("count") > tile).select("root", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "big-groups")
     mine = F.coalesce(F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"), F.lit(0))
     partners = F.transform(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1), lambda t: F.struct(F.least(t, mine).alias("i"), F.greatest(t, mine).alias("j")))
-    dealt = sets.join(big, "root", "left").select("root", F.explode(partners).alias("p"), "node", "fp", "shingles").select("root", "p.i", "p.j", "node", "fp", "shingles")
-    checked = dealt.repartition(shuffle_width(docs.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(radius, similarity), "a long, b long")
+    dealt = fetched.select("root", "node", "fp", "text").join(big, "root", "left").select("root", F.explode(partners).alias("p"), "node", "fp", "text").select("root", "p.i", "p.j", "node", "fp", "text")
+    checked = dealt.repartition(shuffle_width(docs.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(width, radius, similarity), "a long, b long")
     groups = components(checked)
     linked = nodes.join(groups, "node").select("node", "root", "low")
     keepers = linked.join(linked.groupBy("root").agg(F.min("low").alias("keeper")), "root").select("node", "keeper")
     alone = nodes.where("copies > 1").join(keepers.select("node"), "node", "left_anti").select("node", F.col("low").alias("keeper"))
     told = materialize(keepers.unionByName(alone), "keepers")
-    return signed.join(told, "node").where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "hash", "keeper")
+    out = materialize(signed.join(told, "node").where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "hash", "keeper"), "copies")
+    wanted.forget()
+    forget(docs.sparkSession, signed, nodes, asked, big, told)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each group of near copies, all columns as they were."""
-    gone = materialize(near_copies(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct(), "near-copies")
-    maybe = may_be_in(gone.select("__hash"), F.xxhash64(docs[text_col]))
-    marked = docs.withColumn("__maybe", maybe)
-    looked_up = marked.where("__maybe").join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left_anti")
-    return marked.where("not __maybe").unionByName(looked_up).drop("__maybe")
+    """docs with one document of each group of near copies (see near_copies()), all columns as they were, whatever their names and types.
+
+    Null and empty texts and those of blanks alone are one group. Of copies the smallest id stays; rows that repeat the id and text that
+    stays all stay. An empty table stays empty.
+    """
+    copies = near_copies(docs, id_col=id_col, text_col=text_col, **options)
+    gone = materialize(copies.select("id", "hash").distinct(), "near-copies")
+    forget(docs.sparkSession, copies)
+    return without(docs, gone, id_col, F.xxhash64(F.col(f"`{text_col}`")))
