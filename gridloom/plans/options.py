@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 from ..functions.tables import quality_scale
 from ..operators.grid import padded_size, parse_positions
@@ -128,3 +128,42 @@ def padding_multiple(o: Options) -> int:
 def padded(o: Options, width: int, height: int) -> tuple[int, int]:
     m = padding_multiple(o)
     return padded_size(width, m), padded_size(height, m)
+
+
+def parse(arguments: list[str]) -> Options:
+    """Options from a command line: each field is a flag of its name, lists are separated by commas, sizes are written 64x64x4, switches take no value."""
+    given: dict = {}
+    known = {f.name: f for f in fields(Options) if f.name != "notes"}
+    rest = list(arguments)
+    while rest:
+        flag = rest.pop(0)
+        name, _, value = flag.removeprefix("--").partition("=")
+        name = name.replace("-", "_")
+        if not flag.startswith("--") or name not in known:
+            raise ValueError(f"unknown option: {flag}")
+        default = known[name].default
+        if isinstance(default, bool):
+            given[name] = value != "false"
+            continue
+        if not value:
+            if not rest:
+                raise ValueError(f"{flag} needs a value")
+            value = rest.pop(0)
+        try:
+            given[name] = _parsed(name, value, default)
+        except ValueError:
+            raise ValueError(f"{flag}: {value!r} isn't understood") from None
+    return validated(Options(**given))
+
+
+def _parsed(name: str, value: str, default):
+    if name.startswith("level"):
+        return tuple(int(v) for v in value.split("x"))
+    if name == "nearest":
+        return tuple(v == "nearest" for v in value.split(","))
+    if isinstance(default, tuple):
+        kind = float if name == "weights" else int
+        return tuple(kind(v) for v in value.split(",") if v)
+    if name == "rate_weight":
+        return float(value)
+    return type(default)(value)

@@ -20,6 +20,16 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
+def find(spark: SparkSession, path: str, base: str, parents: int = 4) -> str:
+    """``path`` if it exists, else under ``base`` or one of the folders above it, in any store."""
+    there = lambda p: (q := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(q)
+    tried = [path, *(f"{base.rstrip('/')}/{'../' * k}{path}" for k in range(parents + 1))]
+    for p in tried:
+        if there(p):
+            return p
+    raise FileNotFoundError(f"none of {', '.join(tried)}")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(img, y long, x int, v array<float>) of JPEG, PNG, BMP and GIF files: three channels in [0, 1], whatever the file has.
 

@@ -374,3 +374,71 @@ def test_rank_in_key(spark):
     for chunk in (4, 4096):
         got = G.rank_in_key(spark.createDataFrame(rows, "k int, i long"), "k", "i", chunk).collect()
         assert sorted((r["k"], r["y"], r["i"]) for r in got) == [(k, y, i) for k in (0, 1) for y, i in enumerate(sorted(j for q, j in rows if q == k))]
+
+
+def test_command_line():
+    from gridloom.plans.options import Options, parse, validated
+
+    got = parse(["--level0", "32x32x2", "--quality=80", "--hidden", "16,16", "--nearest=nearest", "--deadzone", "--low-weight", "0.5", "--weights=2"])
+    assert got == validated(Options(level0=(32, 32, 2), quality=(80,), hidden=(16, 16), nearest=(True,), deadzone=True, low_weight=0.5, weights=(2.0,)))
+    for bad, problem in ((["--nothing"], "unknown"), (["x"], "unknown"), (["--seed"], "needs a value"), (["--seed", "x"], "understood"), (["--dc-step", "65"], "1..64")):
+        with pytest.raises(ValueError, match=problem):
+            parse(bad)
+
+
+def test_refits_fall_due():
+    assert [t for t in range(0, 41) if TR.refit_due(t, 40, 10, 5, 30)] == [5, 15, 20, 25, 30]
+    assert not any(TR.refit_due(t, 40, 10, 5, 30, live=False) or TR.refit_due(t, 40, 10, 0, 30) for t in range(41))
+
+
+def test_a_block_that_is_not_whole_is_an_error(spark):
+    plane = spark.range(60).selectExpr("id div 8 AS y", "cast(id % 8 AS int) AS x", "1f AS v")
+    with pytest.raises(Exception, match="isn't whole"):
+        X.blocks_of(plane).collect()
+    rows = spark.range(50).selectExpr("id div 5 AS y", "cast(id % 5 AS int) AS x", "cast(id AS float) AS v")
+    got = {(r["by"], r["bx"]): r["w"] for r in X.blocks_of(G.pad_blocks(rows, 5, 10)).collect()}
+    want = np.pad(np.arange(50).reshape(10, 5), ((0, 6), (0, 3)), mode="edge").astype(float)
+    assert set(got) == {(0, 0), (1, 0)} and got[1, 0] == want[8:].reshape(-1).tolist() and got[0, 0] == want[:8].reshape(-1).tolist()
+
+
+def test_median_and_running_best_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(k % 3, float(v)) for k, v in enumerate(np.concatenate([rng.normal(size=200), [5.0] * 60, rng.integers(0, 3, 41)]))] + [(7, 4.0), (8, None), (9, 1.0), (9, 2.0)]
+    df = spark.createDataFrame(rows, "c int, v double")
+    got = {r["c"]: r["median"] for r in M.median(df, "v", ["c"]).collect()}
+    want = {c: float(np.median([v for k, v in rows if k == c])) for c in (0, 1, 2, 7, 9)}
+    assert got == pytest.approx(want)
+    steps = spark.createDataFrame([(int(k), float(v)) for k, v in enumerate(rng.normal(size=100))], "i long, v double")
+    best = [r["best"] for r in R.running_best(steps, "i", "v", chunk=7).orderBy("i").collect()]
+    assert best == np.maximum.accumulate([r["v"] for r in steps.orderBy("i").collect()]).tolist()
+
+
+@pytest.mark.parametrize("nearest", [True, False])
+def test_latent_gradient_against_loops(spark, nearest):
+    """Samples, differences and footprints pixel by pixel."""
+    w, h, n, channels, pairs, sigma = 12, 8, (4, 3), 2, 3, 0.05
+    rng = np.random.default_rng(2)
+    net = D.Network.drawn((channels, 5, 3), 4)
+    z, target = rng.normal(size=(n[1], n[0], channels)).astype(np.float32), rng.random((h, w, 3))
+    texels = spark.createDataFrame([(y, x, c, float(z[y, x, c])) for y in range(n[1]) for x in range(n[0]) for c in range(channels)], "y long, x int, c int, v float")
+    pixels = spark.createDataFrame([(y, x, target[y, x].tolist()) for y in range(h) for x in range(w)], "y long, x int, target array<double>")
+    got = {(r["y"], r["x"], r["c"]): r["g"] for r in TR.latent_es_gradient(pixels, texels, net, (w, h), n, pairs=pairs, sigma=sigma, seed=5, step=2, nearest=nearest).collect()}
+    flat = (np.arange(n[1])[:, None, None] * n[0] + np.arange(n[0])[None, :, None]) * channels + np.arange(channels)
+    grad = np.zeros(z.shape)
+
+    def taps(p, size, m):
+        t = (p + 0.5) / size * m - (0 if nearest else 0.5)
+        i = int(np.floor(t))
+        held = lambda k: max(0, min(m - 1, k))
+        return (held(i), held(i), 0.0) if nearest else (held(i), held(i + 1), t - i)
+
+    for k in range(pairs):
+        eps = B.gauss(B.noise_key(5, B.STREAMS["latent"], 2, k, flat.reshape(-1))).reshape(z.shape)
+        for y in range(h):
+            for x in range(w):
+                (x0, x1, fx), (y0, y1, fy) = taps(x, w, n[0]), taps(y, h, n[1])
+                blend = lambda a: (1 - fx) * (1 - fy) * a[y0, x0] + fx * (1 - fy) * a[y0, x1] + (1 - fx) * fy * a[y1, x0] + fx * fy * a[y1, x1]  # noqa: E731,B023
+                d = [((net.run((blend(z.astype(float)) + s * sigma * blend(eps))[None])[0] - target[y, x]) ** 2).sum() for s in (1, -1)]
+                for ty, tx in {(y0, x0), (y0, x1), (y1, x0), (y1, x1)}:
+                    grad[ty, tx] += (d[0] - d[1]) * eps[ty, tx] / (2 * pairs * sigma * 3 * w * h)
+    assert all(got[y, x, c] == pytest.approx(grad[y, x, c], rel=1e-4, abs=1e-9) for y, x, c in got) and len(got) == grad.size

@@ -146,3 +146,25 @@ def test_options():
 def test_rgb_values_round_half_up(spark):
     df = spark.createDataFrame([(0, 0, [0.5, 2.0, -1.0])], "y long, x int, v array<float>")
     assert images.to_8bit_rgb(df).select(F.col("v")).first()["v"] == [128, 255, 0]
+
+
+def test_metrics(spark, tmp_path):
+    from gridloom.sources import metrics as ME
+
+    sink = ME.MetricsSink(spark, str(tmp_path / "m"), "r1")
+    for k, s in enumerate((3.0, 1.0, 2.0)):
+        sink.append(k, {"seconds": s, "psnr": 30 + k})
+    sink.append_table(9, spark.createDataFrame([(5, 2.5, "x")], "n long, bpp double, t string"), "file_")
+    rows = ME.read_metrics(spark, sink.path)
+    assert rows.count() == 8 and [tuple(r) for r in ME.timings(rows, "seconds").collect()] == [("r1", 3, 1.0, 2.0)]
+    assert {(r["iter"], r["psnr"], r["file_n"]) for r in ME.wide(rows, ["psnr", "file_n"]).collect()} == {(0, 30, None), (1, 31, None), (2, 32, None), (9, None, 5)}
+
+
+def test_find(spark, tmp_path):
+    from gridloom.sources.images import find
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "pic.png").write_bytes(b"x")
+    assert find(spark, "pic.png", str(tmp_path / "a" / "b")).endswith("a/b/../../pic.png")
+    with pytest.raises(FileNotFoundError):
+        find(spark, "none.png", str(tmp_path))
