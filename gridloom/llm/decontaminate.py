@@ -2,14 +2,16 @@
 
 Every benchmark item is cut into windows; a document is hit where a whole window occurs. A window is
 a set of word shingles, and containing it means containing all of them, so its necessary prefix under any
-global order has one shingle: the rarest. Pass one counts, over all documents, how often each benchmark shingle
-occurs and orders shingles by rarity. Pass two finds the positions of prefix shingles in the documents and
-keeps the words around them. They join their windows on the shingle; the window must lie within the document
-at the position that the shingle's offset gives (length and positional bounds); then the words are compared.
-
-Texts are read twice and never shuffled: what moves are candidate positions with at most 25 words each.
-Shingles are looked up by hash in literal sets of at most ``max_set`` entries; a larger benchmark is done in
-blocks of that size, so nothing that grows with an input is broadcast by hand.
+global order has one shingle: the rarest. One pass over the texts finds the positions of benchmark shingles; they are
+counted over all documents, which orders shingles by rarity; a window one of whose shingles never occurs is out. The positions of
+prefix shingles join their windows; the window must lie within the document at the position that the shingle's offset
+gives (length and positional bounds). Exact containment is then a join on positions: shingles that cover the window must all stand where
+the window has them.
+
+Texts are read once and never shuffled: what moves are positions of benchmark shingles with the shingle. They are looked up by
+hash in a filter of bounded size (see prefilter.py); a benchmark that outgrows it lets more positions through to the join that compares the
+shingles themselves, and changes no result. Nothing of the benchmark comes to the driver but the sizes of its shingles (three numbers at
+most).
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, materialize, table
+from .prefilter import Filter, without
+from .shared import ascii_lower, forget, materialize, table
 
 #: What stands between words (a fixed value): every ASCII character but digits and lower-case letters.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,80 +41,78 @@ def _windows(items: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
 
 
 def _shingles(windows: DataFrame) -> DataFrame:
-    """(window_id, shingle, off): shingles of SHINGLE words, or of all words of a shorter window."""
+    """(window_id, len, off, size, shingle, key): shingles of SHINGLE words, or of all words of a shorter window."""
     size = F.least(F.lit(SHINGLE), F.col("len"))
-    parts = F.transform(F.sequence(F.lit(0), F.col("len") - size), lambda i: F.struct(F.concat_ws(" ", F.slice("window", i + 1, size)).alias("shingle"), i.alias("off")))
-    return windows.dropDuplicates(["window_id"]).select("window_id", F.explode(parts).alias("s")).select("window_id", "s.shingle", "s.off")
-
-
-def _in(what: str, values: set[str]) -> str:
-    """An SQL membership test. Words hold no quote, backslash or control character, so quoting is safe."""
-    return f"{what} IN ({', '.join(f"'{v}'" for v in sorted(values))})"
-
-
-def _found(shingles: list[str], keep_words: bool, width: int) -> Column:
-    """Of array column w: structs (pos, shingle[, from, ctx]) where one of the shingles begins."""
-    by_size: dict[int, set[str]] = {}
-    for s in shingles:
-        by_size.setdefault(s.count(" ") + 1, set()).add(s)
-    tests, pieces = [], []
-    for size, values in sorted(by_size.items()):
-        joined = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(size))
-        first = _in("w[i]", {v.split(" ")[0] for v in values})
-        tests.append(f"filter(if(size(w) < {size}, cast(array() as array<int>), sequence(0, size(w) - {size})), i -> {first} AND {_in(f'({joined})', values)})")
-        around = f", greatest(i - {width - 1}, 0) AS from, slice(w, greatest(i - {width - 1}, 0) + 1, {width} + i - greatest(i - {width - 1}, 0)) AS ctx" if keep_words else ""
-        pieces.append(f"transform({tests[-1]}, i -> struct(i AS pos, {joined} AS shingle{around}))")
-    return F.expr(pieces[0] if len(pieces) == 1 else f"concat({', '.join(pieces)})")
-
-
-def _blocks(df: DataFrame, column: str, max_set: int) -> list[list[str]]:
-    """The distinct values of a benchmark-sized column, in blocks of about ``max_set``."""
-    values = sorted(r[0] for r in df.select(column).distinct().toLocalIterator())
-    return [values[i : i + max_set] for i in range(0, len(values), max_set)]
-
-
-def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, max_set: int = 20_000) -> DataFrame:
+    parts = F.transform(F.sequence(F.lit(0), F.col("len") - size), lambda i: F.struct(i.alias("off"), F.slice("window", i + 1, size).alias("w")))
+    each = windows.dropDuplicates(["window_id"]).select("window_id", "len", size.alias("size"), F.explode(parts).alias("s"))
+    return each.select("window_id", "len", "s.off", "size", F.concat_ws(" ", "s.w").alias("shingle"), _key([F.get("s.w", F.lit(k)) for k in range(SHINGLE)]).alias("key"))
+
+
+def _key(words: list[Column]) -> Column:
+    """Hash of a shingle's words; a missing one leaves it as it is."""
+    return F.xxhash64(*words)
+
+
+def _candidates(docs: DataFrame, id_col: str, text_col: str, shingles: DataFrame, max_words: int) -> DataFrame:
+    """(id, hash, n_words, pos, found): for each position at which shingles of the benchmark may begin, those shingles; and for each row its first position, or
+    null where it has no words, in any case."""
+    sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())  # of 1 .. SHINGLE
+    w = F.col("w")
+    words = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), words_of(F.col(f"`{text_col}`")).alias("w"))
+    run = F.arrays_zip(w.alias("a"), *(F.slice(w, k + 1, F.size(w)).alias("abc"[k]) for k in range(1, max(sizes, default=1))))
+    names = "abc"[: max(sizes, default=1)]
+    # The zipped array has as many places as the text has words; its last ones lack words.
+    at = words.select("id", "hash", F.size(w).cast("long").alias("n_words"), F.posexplode_outer(run).alias("pos", "r"))
+    at = at.select("id", "hash", "n_words", "pos", *(F.col("r")[n].alias(n) for n in names))
+    found = []
+    filters = []
+    for size in sizes:
+        filters.append(Filter(shingles.where(F.col("size") == size).select("key"), max_words))
+        inner = [F.col(n) for n in names[:size]]
+        at = filters[-1].mark(at, F.when(inner[-1].isNotNull(), _key(inner)), f"in_{size}")
+        found.append(F.when(F.col(f"in_{size}"), F.concat_ws(" ", *inner)))
+    found = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    out = at.select("id", "hash", "n_words", "pos", found.alias("found")).where((F.coalesce("pos", F.lit(0)) == 0) | (F.size("found") > 0))
+    out = materialize(out, "candidates")
+    for f in filters:
+        f.forget()
+    return out
+
+
+def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, max_words: int = 1 << 18) -> DataFrame:
     """Per document: (id_col, n_words, n_hit, n_items longs, items array<string>, __hash long).
 
     n_hit counts document words inside an occurrence of any window (``width`` consecutive item words, or a whole
     shorter item); items are the ids, as strings and sorted, of items with such an occurrence. One row per input row;
     __hash is xxhash64 of the text and tells apart rows that share an id. A null text has no words; an item
     without words has no window; items that share an id count as one, and a null item id is the empty string. An empty
-    benchmark leaves all documents clean, an empty table gives no rows. Other columns are not read.
+    benchmark leaves all documents clean, an empty table gives no rows. Other columns are not read. ``max_words`` bounds
+    the filter of shingles: 8 bytes each.
     """
     windows = materialize(_windows(items, item_col, item_text_col, width), "windows")
     shingles = materialize(_shingles(windows), "window-shingles")
-    text = F.col(text_col)
-    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), words_of(text).alias("w"))
-    blocks = _blocks(shingles, "shingle", max_set)
-    none = "cast(array() as array<struct<pos: int, shingle: string, `from`: int, ctx: array<string>>>)"
-
-    counts = None
-    for block in blocks:
-        seen = words.select(F.explode(_found(block, False, width)).alias("f")).groupBy("f.shingle").count()
-        counts = seen if counts is None else counts.unionByName(seen)
-    if counts is not None:
-        counts = materialize(counts, "shingle-counts")
-        ranked = shingles.join(counts, "shingle").groupBy("window_id").agg(F.min(F.struct("count", "shingle", "off")).alias("p"))
-        prefix = materialize(ranked.select("window_id", "p.shingle", "p.off").join(windows.dropDuplicates(["window_id"]).select("window_id", "window", "len"), "window_id"), "prefixes")
-        blocks = _blocks(prefix, "shingle", max_set)
-    else:
-        blocks = []
-
-    found = F.expr(none) if not blocks else _found(blocks[0], True, width) if len(blocks) == 1 else F.concat(*(_found(b, True, width) for b in blocks))
-    base = materialize(words.select("id", "hash", F.size("w").cast("long").alias("n_words"), found.alias("found")), "candidates")
-    if not blocks:
-        return base.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.col("hash").alias("__hash"))
-
-    start = F.col("f.pos") - F.col("off")
-    candidates = base.select("id", "hash", "n_words", F.explode("found").alias("f")).withColumn("shingle", F.col("f.shingle")).join(prefix, "shingle")
-    bounded = candidates.where((start >= F.col("f.from")) & (start + F.col("len") <= F.col("n_words")))
-    same = bounded.where(F.slice("f.ctx", start - F.col("f.from") + 1, F.col("len")) == F.col("window"))
-    hits = materialize(same.select("id", "hash", start.alias("start"), "len", "window_id").distinct(), "hits")
+    candidates = _candidates(docs, id_col, text_col, shingles, max_words)
+    base = candidates.where(F.coalesce("pos", F.lit(0)) == 0).select("id", "hash", "n_words")
+
+    at = candidates.select("id", "hash", "n_words", "pos", F.explode("found").alias("shingle"))
+    counts = materialize(at.groupBy("shingle").count(), "shingle-counts")
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "off", "len")).alias("p")
+    prefix = materialize(shingles.join(counts, "shingle", "left").groupBy("window_id").agg(rarest).where("p.count > 0").select("window_id", "p.shingle", "p.off", "p.len"), "prefixes")
+    start = F.col("pos") - F.col("off")
+    bounded = at.join(prefix, "shingle").where((start >= 0) & (start + F.col("len") <= F.col("n_words")))
+    tried = bounded.select("id", "hash", start.alias("start"), "window_id").distinct()
+    # Shingles that cover a window: every SHINGLE-th, and the last.
+    cover = shingles.where((F.col("off") % SHINGLE == 0) | (F.col("off") == F.col("len") - F.col("size"))).select("window_id", "len", "off", "shingle")
+    asked = tried.join(cover, "window_id").select("id", "hash", "start", "window_id", "len", (F.col("start") + F.col("off")).alias("pos"), "shingle")
+    there = at.select(F.col("id").alias("i"), F.col("hash").alias("h"), F.col("pos").alias("p"), F.col("shingle").alias("s"))
+    stands = asked.join(there, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")) & (F.col("pos") == F.col("p")) & (F.col("shingle") == F.col("s")), "left_semi")
+    needed = F.ceil(F.col("len") / SHINGLE)
+    hits = materialize(stands.groupBy("id", "hash", "start", "window_id", "len").count().where(F.col("count") == needed).drop("count"), "hits")
     covered = hits.select("id", "hash", "start", "len").distinct().select("id", "hash", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy("id", "hash").agg(F.count("pos").alias("n_hit"))
     named = hits.select("id", "hash", "window_id").distinct().join(windows.select("window_id", "item"), "window_id").groupBy("id", "hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
     on = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["hash"] == b["hash"])
     verdict = materialize(covered.join(named, on(covered, named)).select(covered["id"], covered["hash"], "n_hit", "items"), "verdicts")
+    forget(docs.sparkSession, windows, shingles, counts, prefix, hits)
     out = base.join(verdict, on(base, verdict), "left")
     return out.select(
         base["id"].alias(id_col), base["n_words"], F.coalesce(verdict["n_hit"], F.lit(0)).alias("n_hit"), F.coalesce(F.size(verdict["items"]), F.lit(0)).cast("long").alias("n_items"),
@@ -124,10 +125,14 @@ def is_contaminated() -> Column:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones, all columns as they were."""
-    bad = contamination(docs, items, id_col=id_col, text_col=text_col).where(is_contaminated()).select(F.col(id_col).alias("__id"), "__hash").distinct()
-    bad = materialize(bad, "contaminated")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text_col]) == bad["__hash"]), "left_anti")
+    """docs without the contaminated ones, all columns as they were, whatever their names and types.
+
+    Contaminated is a document of which a twentieth of the words or more is hit (see contamination()). A null, empty or wordless text is clean; rows that
+    repeat an id and text share their fate; texts of any length are judged whole. An empty benchmark drops nothing, an empty table stays empty.
+    """
+    found = contamination(docs, items, id_col=id_col, text_col=text_col).where(is_contaminated())
+    bad = materialize(found.select(F.col(id_col).alias("id"), F.col("__hash").alias("hash")).distinct(), "contaminated")
+    return without(docs, bad, id_col, F.xxhash64(F.col(f"`{text_col}`")))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
