@@ -2,52 +2,67 @@
 frequencies, and summed. No id list of a document is ever built.
 
 A byte-pair tokenizer never merges across pre-tokens, so a document's token count is the sum over its
-distinct pre-tokens of frequency x pieces. Each task keeps a table (pre-token -> pieces) and extends it
-by the pre-tokens of the next batch that it hasn't met; the join to the batch's (document, pre-token,
-frequency) rows is a lookup in that table. The table lives in the task because pre-tokens follow Heaps'
-law: a corpus-wide table grows without bound, so it could not be broadcast, and joining it by a shuffle
-would move one row for each document and distinct word - more bytes than the text. Kept in the task,
-nothing shuffles at all and memory is bounded: the table is emptied when it holds ``max_table`` entries
-(which costs recounting, never correctness).
+distinct pre-tokens of frequency x pieces.
+
+1. Texts are read once and taken apart into pre-tokens. About ``part_bytes`` of documents make a part: the part's different pre-tokens, and for each
+   document which of them it has and how often, as packed numbers. Parts are written to the shared folder, bucketed by part.
+2. The different pre-tokens of all parts are one table; the tokenizer's pieces of each are counted there, once in the whole corpus.
+3. That table is joined to the parts' pre-tokens, and each part gets its own back as one row; a row of numbers meets
+   the frequencies, and documents are sums.
+
+What moves is one row for each part and different pre-token of it - a few hundredths of the text's words - and never a document's
+frequencies. A pre-token that stands in every document is a row a part, so none is hot.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import by_bytes, forget, forget_path, materialize, scratch_path, shuffle_width, table
 
 #: The pre-token pattern of byte-level BPE, as published with the vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What its classes are in ASCII texts, for the standard library's faster engine.
+ASCII_CLASSES = ((r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]"), (r"\p{L}", "[A-Za-z]"), (r"\p{N}", "[0-9]"))
 #: A blank between two ASCII letters always starts a pre-token, so long texts may be cut before it.
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 SEGMENT = 1 << 16
 
 
-class PieceTable:
-    """The pieces of each distinct pre-token met so far, by the tokenizer library itself."""
+class PreTokens:
+    """A tokenizer file's pre-tokens of a text, and their pieces by the tokenizer library itself."""
 
-    def __init__(self, path: str, max_table: int):
+    def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        kind = type(self.tokenizer.pre_tokenizer).__name__
-        if kind != "ByteLevel" or self.tokenizer.normalizer is not None:
+        tokenizer = Tokenizer.from_file(path)
+        self.pre, self.bpe = tokenizer.pre_tokenizer, tokenizer.model.tokenize
+        kind = type(self.pre).__name__
+        if kind != "ByteLevel" or tokenizer.normalizer is not None:
             raise ValueError(f"{path}: only byte-level BPE without a normalizer is supported, not {kind}")
-        self.pre = self.tokenizer.pre_tokenizer
-        self.find = regex.compile(PATTERN).findall
+        if self.pre.add_prefix_space or not self.pre.use_regex:
+            raise ValueError(f"{path}: a prefix space, or no pattern, isn't supported")
+        if getattr(tokenizer.model, "dropout", None):
+            raise ValueError(f"{path}: a model with dropout has no one count")
+        added = tokenizer.get_added_tokens_decoder().values()
+        if odd := [t.content for t in added if t.single_word or t.lstrip or t.rstrip]:
+            raise ValueError(f"{path}: added tokens with single_word, lstrip or rstrip aren't supported: {odd}")
+        ascii_pattern = PATTERN
+        for ours, theirs in ASCII_CLASSES:
+            ascii_pattern = ascii_pattern.replace(ours, theirs)
+        self.find, self.find_ascii = regex.compile(PATTERN).findall, re.compile(ascii_pattern, re.ASCII).findall
         self.classes = [(k, regex.compile(p)) for k, p in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))]
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.pieces: dict[str, int] = {}
-        self.max_table = max_table
+        self.split = re.compile("|".join(re.escape(t.content) for t in sorted(added, key=lambda t: len(t.content), reverse=True))) if added else None
         self.agrees: dict[str, bool] = {}
 
     def _same_class(self, ch: str) -> bool:
@@ -57,11 +72,12 @@ class PieceTable:
         theirs = "L" if one("a" + ch) else "N" if one("1" + ch) else "O" if one("!" + ch) else "S"
         return ours == theirs
 
-    def _pre_tokens(self, text: str) -> list[str]:
-        if not text.isascii():
-            for ch in set(text):
-                if ch > "\x7f" and not self.agrees.setdefault(ch, self.agrees.get(ch) or self._same_class(ch)):
-                    return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
+    def _of(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.find_ascii(text)
+        for ch in set(text):
+            if ch > "\x7f" and not self.agrees.setdefault(ch, self.agrees.get(ch) or self._same_class(ch)):
+                return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
         return self.find(text)
 
     def frequencies(self, text: str) -> tuple[Counter, int]:
@@ -73,55 +89,104 @@ class PieceTable:
             while at < len(part):
                 cut = _SAFE_CUT.search(part, at + SEGMENT) if len(part) - at > 2 * SEGMENT else None
                 end = cut.start() if cut else len(part)
-                freq.update(self._pre_tokens(part[at:end]))
+                freq.update(self._of(part[at:end]))
                 at = end
         return freq, len(parts) - 1
 
-    def extend(self, tokens: set[str]) -> None:
-        new = [t for t in tokens if t not in self.pieces]
-        if len(self.pieces) + len(new) > self.max_table:
-            self.pieces, new = {}, list(tokens)
-        bpe, pre = self.tokenizer.model.tokenize, self.pre.pre_tokenize_str
-        for t in new:
-            self.pieces[t] = sum(len(bpe(p)) for p, _ in pre(t))
-
-    def count(self, texts: list[str]) -> list[int]:
-        """Token counts of a batch: frequencies, the pieces of what is new, join and sum."""
-        docs = [self.frequencies(t) for t in texts]
-        distinct: set[str] = set()
-        for freq, _ in docs:
-            distinct.update(freq)
-        self.extend(distinct)
-        pieces = self.pieces
-        return [added + sum(n * pieces[t] for t, n in freq.items()) for freq, added in docs]
-
-
-def count_tokens(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", max_table: int = 1_000_000, batch_chars: int = 4_000_000) -> DataFrame:
+    def pieces(self, token: str) -> int:
+        return sum(len(self.bpe(p)) for p, _ in self.pre.pre_tokenize_str(token))
+
+
+class _Numbers(dict):
+    """Numbers from 0 in order of first asking."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def _packed(numbers: list[int]) -> bytes:
+    a = np.array(numbers, "<u4")
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, 4).T.tobytes())  # byte planes apart
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64)
+
+
+def _parts(path: str, part_bytes: int):
+    """Documents (id, text, n_bytes) to parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = PreTokens(path)
+        for batch in by_bytes(batches, 1, part_bytes):
+            numbers, which, times, sizes, added = _Numbers(), [], [], [], []
+            for value in batch.column(1):
+                freq, specials = known.frequencies(value.as_py() or "")
+                which.extend(map(numbers.__getitem__, freq))
+                times.extend(freq.values())
+                sizes.append(len(freq))
+                added.append(specials)
+            ids, n_bytes = (pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), pa.concat_arrays([batch.column(c)])) for c in (0, 2))
+            packed = [pa.array([_packed(x)]) for x in (which, times, sizes, added)]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), ids, n_bytes, pa.array([list(numbers)], pa.list_(pa.string())), *packed], names=["part", "ids", "n_bytes", "tokens", "which", "times", "sizes", "added"])
+
+    return run
+
+
+def _pieces(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = PreTokens(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known.pieces(t) for t in batch.column(0).to_pylist()], pa.int32())], names=["token", "pieces"])
+
+    return run
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts joined with their pre-tokens' pieces to documents."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            told = batch.column(6)[k].values  # null where no document has a pre-token
+            which, times, sizes, added = (_unpacked(batch.column(c)[k].as_py()) for c in (2, 3, 4, 5))
+            pieces = np.zeros(len(told) if told is not None else 0, np.int64)
+            if told is not None:
+                pieces[told.field(0).to_numpy(zero_copy_only=False)] = told.field(1).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            total = np.concatenate([[0], np.cumsum(times * pieces[which])])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[k].values, batch.column(1)[k].values, pa.array(total[ends] - total[ends - sizes] + added, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+
+
+def count_tokens(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 4 << 20) -> DataFrame:
     """Token count of each whole text, as the library's encode() gives it without added specials.
 
     Returns (id_col, n_bytes long, n_tokens long), one row per input row, repeated rows included. A null
     text counts as empty (0 bytes, 0 tokens); a null id is carried through; other columns are not read,
-    so their names cannot clash; an empty table gives no rows. Any text length: memory holds one batch of about
-    ``batch_chars`` characters (or one longer text) and at most ``max_table`` pre-tokens.
+    so their names cannot clash; an empty table gives no rows. Any text length: memory holds one part of about
+    ``part_bytes`` bytes (or one longer text) and its pre-tokens. A tokenizer file with settings that aren't handled is refused.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
-        for batch in batches:
-            known = known or PieceTable(tokenizer_path, max_table)
-            out, part, size = [], [], 0
-            for value in batch.column(1):
-                part.append(value.as_py() or "")
-                size += len(part[-1])
-                if size >= batch_chars:
-                    out += known.count(part)
-                    part, size = [], 0
-            out += known.count(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.int64())], names=["id", "n_bytes", "n_tokens"])
-
-    kind = df.schema[id_col].dataType
-    picked = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    return picked.mapInArrow(run, f"id {kind.simpleString()}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    PreTokens(tokenizer_path)
+    spark = df.sparkSession
+    kind = df.schema[id_col].dataType.simpleString()
+    text = F.col(f"`{text_col}`")
+    picked = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    packed = picked.mapInArrow(_parts(tokenizer_path, part_bytes), f"part long, ids array<{kind}>, n_bytes array<long>, tokens array<string>, which binary, times binary, sizes binary, added binary")
+    # Bucketed by part: the last join moves the pieces only.
+    path, name, width = scratch_path(spark, "parts"), f"parts_{uuid.uuid4().hex}", shuffle_width(spark)
+    packed.write.bucketBy(width, "part").option("path", path).saveAsTable(name)
+    try:
+        parts = spark.table(name)
+        pairs = parts.select("part", F.posexplode("tokens").alias("pos", "token"))
+        pieces = materialize(pairs.select("token").distinct().mapInArrow(_pieces(tokenizer_path), "token string, pieces int"), "pieces")
+        told = pairs.join(pieces.hint("shuffle_hash"), "token").groupBy("part").agg(F.collect_list(F.struct("pos", "pieces")).alias("told"))
+        joined = parts.join(told.hint("shuffle_hash"), "part", "left").select("ids", "n_bytes", "which", "times", "sizes", "added", "told")
+        out = materialize(joined.mapInArrow(_sums, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col), "token-counts")
+        forget(spark, pieces)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        forget_path(spark, path)
+    return out
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
