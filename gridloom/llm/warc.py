@@ -23,7 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .prefilter import Filter
+from .shared import by_bytes, materialize, table
 
 #: Fixed values of the format: the magic number of the dictionary's skippable frame and that of Zstandard's frames.
 DICT_MAGIC = 0x184D2A5D
@@ -58,21 +59,24 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None
 
 
 def build_dictionary(records: list[bytes], *, dict_bytes: int = 16 << 10, sample_bytes: int = 1 << 20) -> bytes:
-    """A trained dictionary from evenly spaced records, ``sample_bytes`` at most; empty where there are too few to train one."""
-    step = max(1, -(-sum(map(len, records)) // sample_bytes))
-    sample, room = [], sample_bytes
-    for r in records[::step]:
-        part = r[: min(room, 16 << 10)]  # only what the dictionary is learnt from; records are stored whole
-        sample.append(part)
-        room -= len(part)
-        if room <= 0:
-            break
-    if len(sample) < 16:
+    """A dictionary from pieces of records, ``sample_bytes`` in all: from every record an equal share, spread over it.
+
+    Where there are more records than the budget has 256-byte pieces for, evenly spaced ones are taken. A sample from which none can be trained (few or
+    odd records) is itself the dictionary, as raw content. Empty only where there are no records. Records are stored whole in any case.
+    """
+    if not records:
         return b""
+    share = max(256, sample_bytes // len(records))
+    sample = []
+    for r in records[:: max(1, -(-len(records) * share // sample_bytes))]:
+        take = min(len(r), share)
+        n = -(-take // 4096)
+        size = -(-take // n)
+        sample += [r[k * (len(r) - size) // max(1, n - 1) :][:size] for k in range(n)]
     try:
         return zstandard.train_dictionary(dict_bytes, sample, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(sample)[:dict_bytes]
 
 
 def pack(records: list[bytes], level: int = 3) -> bytes:
@@ -125,13 +129,15 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     Of rows with equal payloads of at least ``min_revisit_bytes``, those with the smallest id are responses and the others
     revisit it; shorter ones are all responses. A null payload is empty; a null url leaves the field out; a row with a null
     id never is the one referred to (a group that has null ids only is all responses). Rows that repeat the smallest id are
-    all responses. An empty table makes no archive. Other columns are not read. Payloads stay where they are unless
-    Spark must shuffle them to join the table of repeated payloads, which it plans by that table's size.
+    all responses. An empty table makes no archive. Other columns are not read. Payloads that surely stand once stay where they
+    are; only those that may be repeated shuffle, if Spark doesn't broadcast the table of repeated payloads after checking its size.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
     long_ones = rows.where(F.length("payload") >= min_revisit_bytes)
     groups = materialize(long_ones.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first"), "repeated-payloads")
-    told = rows.join(groups, "sha", "left")
+    marked = Filter(groups.select(F.xxhash64("sha"))).mark(rows, F.xxhash64("sha"), "maybe")
+    alone = marked.where("not maybe").withColumn("first", F.lit(None).cast(groups.schema["first"].dataType))
+    told = alone.unionByName(marked.where("maybe").join(groups, "sha", "left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -140,7 +146,7 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
             name = hashlib.sha1(b"".join(hashlib.sha1(r).digest() for r in held)).hexdigest()  # the same rows give the same name when a task runs again
             return pa.RecordBatch.from_arrays([pa.array([f"{name}.warc.zst"]), pa.array([len(held)], pa.int64()), pa.array([pack(held)], pa.binary())], names=["name", "records", "content"])
 
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             for i, url, payload, sha, first in zip(*batch.columns, strict=True):
                 i, payload, first = i.as_py(), payload.as_py(), first.as_py()
                 long = len(payload) >= min_revisit_bytes
