@@ -1,14 +1,14 @@
 """URL filters with a history: dated list entries become validity intervals, captures are judged as of their fetch time.
 
 A list is a log of entries (kind, value, action, at): an add opens an interval for (kind, value), a remove closes it. A
-capture asks for a bounded number of keys - each suffix of its host, each directory prefix of its path, each query
-parameter name - and an entry applies where the key matches and the fetch time lies in the interval. So the temporal
-join is an equi-join on (kind, value) plus an interval test: all histories of a key are one row that holds its intervals
-in order, and the as-of step picks the last one that began by the fetch time.
-
-Hosts repeat, and one host may hold a third of all captures. Keys are therefore salted: the list side, narrow and one
-row per key, is copied to each salt where it isn't small enough for Spark's own size check to broadcast it; captures
-are grouped again by capture only, never by host.
+capture asks for each suffix of its host, each directory prefix of its path and each query parameter name - of hosts and paths no more labels
+and directories than the longest entry has, since longer ones cannot match, so keys stay few and short however long a url is. An entry applies where the
+key matches and the fetch time lies in the interval.
+
+Intervals are cut at every BUCKET_DAYS days of time, so the temporal join is an equi-join on (kind, value, bucket): the intervals of a key within
+a bucket are one short row in order of time, however long the key's history, and the as-of step picks the last one that began by the fetch
+time. Spark broadcasts that table if its size allows; else a host that holds a third of all captures makes a skewed join, which Spark splits.
+Captures are grouped again by capture only, never by host.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, table
 
-SALTS = 16
+BUCKET_DAYS = 30
 
-#: The list of the query (fixed values): kind, value, action, time in UTC.
+#: Hand-written entries of the query's list (fixed values): kind, value, action, time in UTC.
 ENTRIES = """
 host      example.net         add     2024-02-01 00:00:00
 host      example.net         remove  2024-05-01 00:00:00
@@ -42,6 +42,19 @@ param     ref                 add     2024-09-15 00:00:00
 """
 
 
+#: Entries that a rule adds to them: directories of four languages, in turn added and removed.
+RULED = 20_000
+LANGS = ("en", "fr", "de", "es")
+
+
+def ruled_entries(spark: SparkSession) -> DataFrame:
+    i = F.col("id")
+    value = F.concat(F.lit("/"), F.get(F.array(*map(F.lit, LANGS)), (i % 4).cast("int")), F.lit("/"), (i % 9973).cast("string"))
+    minutes = ((i * 6007) % (366 * 24 * 60)).cast("int")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
+    return spark.range(RULED).select(F.lit("path").alias("kind"), value.alias("value"), F.when(i % 5 < 3, "add").otherwise("remove").alias("action"), at.alias("at"))
+
+
 def list_entries(spark: SparkSession, text: str = ENTRIES) -> DataFrame:
     rows = [(k, v, a, f"{d} {t}") for k, v, a, d, t in (x.split() for x in text.strip().splitlines())]
     return spark.createDataFrame(rows, "kind string, value string, action string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
@@ -75,29 +88,38 @@ def params_of(url: Column) -> Column:
     return F.filter(F.transform(F.split(query, "&"), lambda p: F.element_at(F.split(p, "="), 1)), lambda p: p != "")
 
 
-def keys_of(url: Column) -> Column:
-    """The keys that a capture asks for, as structs (kind, value)."""
+def keys_of(url: Column, labels_most: int, parts_most: int) -> Column:
+    """The keys that a capture asks for, as structs (kind, value): at most so many labels of its host and directories of its path."""
     labels, parts = F.split(host_of(url), r"\."), F.filter(F.split(path_of(url), "/"), lambda p: p != "")
     as_keys = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
+    upto = lambda values, most: F.when(F.least(F.size(values), F.lit(most)) > 0, F.sequence(F.lit(1), F.least(F.size(values), F.lit(most)))).otherwise(F.array().cast("array<int>"))
+    suffixes = F.transform(upto(labels, labels_most), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
+    prefixes = F.transform(upto(parts, parts_most), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
     return F.array_distinct(F.concat(as_keys("host", F.filter(suffixes, lambda s: s != "")), as_keys("path", prefixes), as_keys("param", params_of(url))))
 
 
+def _bucket(at: Column) -> Column:
+    return F.floor(F.unix_seconds(at.cast("timestamp")) / (BUCKET_DAYS * 86400))
+
+
 def judge(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """Per capture: (id_col, url_col, time_col, n_rules long, rules array<string>, blocked boolean).
 
     rules are the entries, as kind:value in order, that were active at the fetch time (since <= time < until). A null url or
     time matches nothing; repeated rows are judged each; an empty list blocks nothing and an empty table gives no
-    rows. Other columns are not read.
+    rows. Other columns are not read. Urls of any length are read whole.
     """
-    spans = intervals(entries).groupBy("kind", "value").agg(F.sort_array(F.collect_list(F.struct("since", "until"))).alias("spans"))
-    spans = materialize(spans.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), "list-intervals")
+    valid = intervals(entries)
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).cast("timestamp_ntz").alias("t"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url", "t"), F.lit(SALTS)).cast("int"))
-    asked = rows.dropDuplicates(["id", "url", "t"]).select("id", "url", "t", "salt", F.explode(keys_of(F.col("url"))).alias("k")).select("id", "url", "t", "salt", "k.kind", "k.value")
+    longest = lambda kind, by: F.coalesce(F.max(F.when(F.col("kind") == kind, F.size(F.split("value", by)))), F.lit(0))
+    labels_most, parts_most = valid.agg(longest("host", r"\."), longest("path", "/")).first()
+    horizon = rows.agg(F.max(_bucket(F.col("t")))).first()[0]
+    last = F.least(F.coalesce(_bucket(F.col("until")), F.lit(horizon)), F.lit(horizon))
+    cut = valid.withColumn("b", _bucket(F.col("since"))).where(F.col("b") <= F.lit(horizon)).withColumn("b", F.explode(F.sequence("b", last)))
+    spans = materialize(cut.groupBy("kind", "value", "b").agg(F.sort_array(F.collect_list(F.struct("since", "until"))).alias("spans")), "list-intervals")
+    asked = rows.dropDuplicates(["id", "url", "t"]).withColumn("b", _bucket(F.col("t"))).select("id", "url", "t", "b", F.explode(keys_of(F.col("url"), labels_most, parts_most)).alias("k")).select("id", "url", "t", "b", "k.kind", "k.value")
     begun = F.try_element_at(F.filter("spans", lambda s: s["since"] <= F.col("t")), F.lit(-1))
-    active = asked.join(spans, ["kind", "value", "salt"]).withColumn("s", begun).where(F.col("s").isNotNull() & (F.col("s.until").isNull() | (F.col("t") < F.col("s.until"))))
+    active = asked.join(spans, ["kind", "value", "b"]).withColumn("s", begun).where(F.col("s").isNotNull() & (F.col("s.until").isNull() | (F.col("t") < F.col("s.until"))))
     found = active.groupBy("id", "url", "t").agg(F.sort_array(F.collect_set(F.concat_ws(":", "kind", "value"))).alias("rules")).toDF("_id", "_url", "_t", "_rules")
     on = F.col("id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url")) & F.col("t").eqNullSafe(F.col("_t"))
     rules = F.coalesce(F.col("_rules"), F.array().cast("array<string>"))
@@ -111,13 +133,16 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     minutes = F.pmod(F.col("page_id") * 7919, F.lit(366 * 24 * 60))
     fetched = (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))).alias("fetched_at")
-    out = judge(table(spark, sf_dir, "pages").select("page_id", "url", fetched), list_entries(spark))
+    out = judge(table(spark, sf_dir, "pages").select("page_id", "url", fetched), list_entries(spark).unionByName(ruled_entries(spark)))
     return out.select("page_id", "fetched_at", "n_rules", F.array_join("rules", ",").alias("rules"), "blocked")
 
 
 SQL = (
     r"""
-WITH e(kind, value, action, ts) AS (VALUES {rows}),
+WITH e(kind, value, action, ts) AS (
+  VALUES {rows}
+  UNION ALL SELECT 'path', '/' || ['en', 'fr', 'de', 'es'][1 + i % 4] || '/' || (i % 9973), CASE WHEN i % 5 < 3 THEN 'add' ELSE 'remove' END, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((i * 6007) % 527040 AS INTEGER)) FROM range(20000) r(i)
+),
 l AS (
   SELECT kind, value, ts, bool_or(action = 'add') AND NOT bool_or(action = 'remove') AS "on" FROM e GROUP BY kind, value, ts
 ), t AS (
