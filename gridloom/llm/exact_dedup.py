@@ -8,8 +8,9 @@ straight through. A repeated hash enters each of its cells at least twice, so no
 alarm ends up as a group of one.
 
 The filter is broadcast, so its size is bounded: at most ``max_filter_bytes``. Where the row count calls
-for more cells, the hash space is cut into slices that are filtered one after the other, each with a
-filter of that size, over the narrow table partitioned by slice - every row is tested, at any size.
+for more cells, nothing is broadcast: hashes that a batch holds twice are repeated for sure, one of each other hash and batch goes to the task of
+its slice of the hash space (32 bytes; texts never move), and that task makes and asks a filter of its own slice. All slices run
+at once, each with ``slice_rows`` hashes at a time on average, and a group of copies of any size brings its slice one row a batch.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ASCII_LOWER, materialize, shuffle_width, table
+from .shared import ASCII_LOWER, by_bytes, materialize, shuffle_width, table
 
 PROBES = 4
 CELLS_PER_ROW = 16
@@ -36,16 +37,11 @@ def _cells(sha: list[bytes], n_cells: int) -> np.ndarray:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches, 1):
         sha = [hashlib.sha256((v.as_py() or b"").translate(ASCII_LOWER)).digest() for v in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.binary())], names=["id", "sha"])
 
 
-def _slice_of(sha: F.Column, n_slices: int) -> F.Column:
-    """Slices use the last bytes of the digest; the cells use the first ones."""
-    return F.pmod(F.conv(F.substring(F.hex(sha), 57, 8), 16, 10).cast("long"), F.lit(n_slices)).cast("int")
-
-
 def _enter(n_cells: int):
     """Pass one, per task: cells as (block, offsets entered once, offsets entered more often)."""
 
@@ -78,39 +74,73 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([np.packbits(t, bitorder="little").tobytes() for _, t in seen.values()])], names=["block", "twice"])
 
 
-def possibly_repeated(hashes: DataFrame, *, max_filter_bytes: int = 16 << 20) -> DataFrame:
+def _marked(names: list[str], at: int):
+    """Rows plus ``surely`` (the batch holds the hash twice) and ``enters`` (the first of its hash in the batch). Hashes count as equal by 8 bytes here: a false
+    ``surely`` only sends a row to the exact grouping."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = np.frombuffer(b"".join(batch.column(at).to_pylist()), "<u8")[::4]
+            _, first, which, n = np.unique(word, return_index=True, return_inverse=True, return_counts=True)
+            enters = np.zeros(len(word), bool)
+            enters[first] = True
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n[which] > 1), pa.array(enters)], names=[*names, "surely", "enters"])
+
+    return run
+
+
+def _in_slice(at: int, surely: int):
+    """Both passes over one slice, whose narrow rows a task holds; ``surely`` becomes ``maybe``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        n_cells = max(1, sum(b.num_rows for b in held)) * CELLS_PER_ROW
+        one, two = np.zeros(n_cells, bool), np.zeros(n_cells, bool)
+        for batch in held:
+            cell, n = np.unique(_cells(batch.column(at).to_pylist(), n_cells), return_counts=True)
+            two[cell[one[cell] | (n > 1)]] = True
+            one[cell] = True
+        for batch in held:
+            hit = two[_cells(batch.column(at).to_pylist(), n_cells)].all(axis=1)
+            columns = list(batch.columns)
+            columns[surely] = pa.array(hit | columns[surely].to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return run
+
+
+def possibly_repeated(hashes: DataFrame, *, max_filter_bytes: int = 16 << 20, slice_rows: int = 2_000_000) -> DataFrame:
     """Rows of ``hashes`` (with a binary column sha of 32 bytes) plus ``maybe``: false where the hash is surely unique."""
     spark = hashes.sparkSession
     n_rows = hashes.count()
     most = max_filter_bytes * 8
-    n_slices = max(1, -(-n_rows * CELLS_PER_ROW // most))
-    n_cells = min(most, max(BLOCK, -(-n_rows * CELLS_PER_ROW // n_slices // BLOCK) * BLOCK))
+    names, at = hashes.columns, hashes.columns.index("sha")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hashes.schema)
+    if n_rows * CELLS_PER_ROW > most:
+        marked = materialize(hashes.mapInArrow(_marked(names, at), f"{schema}, surely boolean, enters boolean"), "marked-hashes")
+        # A hash that one batch holds twice is known; its row enters twice, for the single ones in other batches.
+        twice = marked.where("enters and surely")
+        entering = marked.where("enters").unionByName(twice).drop("enters").withColumn("told", F.col("surely"))
+        width = -(-n_rows // min(slice_rows, most // CELLS_PER_ROW))
+        tested = entering.repartition(width, "sha").mapInArrow(_in_slice(at, len(names)), f"{schema}, surely boolean, told boolean")
+        alone = tested.where("not told").select(*names, F.col("surely").alias("maybe"))
+        return alone.unionByName(marked.where("surely").select(*names, F.lit(True).alias("maybe")))
+    n_cells = max(BLOCK, -(-n_rows * CELLS_PER_ROW // BLOCK) * BLOCK)
     width = min(shuffle_width(spark), n_cells // BLOCK)
-    if n_slices > 1:
-        path = materialize(hashes.withColumn("slice", _slice_of(F.col("sha"), n_slices)).repartition(n_slices, "slice"), "hash-slices")
-    out = None
-    for k in range(n_slices):
-        part = path.where(F.col("slice") == k).drop("slice") if n_slices > 1 else hashes
-        planes = part.select("sha").mapInArrow(_enter(n_cells), "block long, once binary, more binary").repartition(width, "block").mapInArrow(_merge, "block long, twice binary")
-        twice = np.zeros(n_cells // 8, np.uint8)
-        for row in planes.toLocalIterator():  # at most max_filter_bytes in all
-            twice[row["block"] * (BLOCK // 8) : (row["block"] + 1) * (BLOCK // 8)] = np.frombuffer(row["twice"], np.uint8)
-        shared = spark.sparkContext.broadcast(twice.tobytes())
-        names, at = part.columns, part.columns.index("sha")
-
-        def test(batches: Iterator[pa.RecordBatch], shared=shared, names=names, at=at) -> Iterator[pa.RecordBatch]:
-            bits = np.frombuffer(shared.value, np.uint8)
-            for batch in batches:
-                cell = _cells(batch.column(at).to_pylist(), n_cells)
-                hit = ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).all(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*names, "maybe"])
-
-        tested = part.mapInArrow(test, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in part.schema)}, maybe boolean")
-        if n_slices > 1:
-            tested = materialize(tested, f"tested-{k}")
-            shared.unpersist()
-        out = tested if out is None else out.unionByName(tested)
-    return out
+    planes = hashes.select("sha").mapInArrow(_enter(n_cells), "block long, once binary, more binary").repartition(width, "block").mapInArrow(_merge, "block long, twice binary")
+    twice = np.zeros(n_cells // 8, np.uint8)
+    for row in planes.toLocalIterator():  # at most max_filter_bytes in all
+        twice[row["block"] * (BLOCK // 8) : (row["block"] + 1) * (BLOCK // 8)] = np.frombuffer(row["twice"], np.uint8)
+    shared = spark.sparkContext.broadcast(twice.tobytes())
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            cell = _cells(batch.column(at).to_pylist(), n_cells)
+            hit = ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).all(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*names, "maybe"])
+
+    return hashes.mapInArrow(test, f"{schema}, maybe boolean")
 
 
 def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 16 << 20) -> DataFrame:
