@@ -106,6 +106,17 @@ def posthoc_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols_e(spark, sf_dir).select("y", "x", "k", "q")
 
 
+PRICES_SQL = f"""WITH rg AS (SELECT l_returnflag AS c, CAST(min(CAST(l_extendedprice AS FLOAT)) AS FLOAT) AS lo, greatest(CAST(CAST(max(CAST(l_extendedprice AS FLOAT)) AS FLOAT) - CAST(min(CAST(l_extendedprice AS FLOAT)) AS FLOAT) AS FLOAT), CAST(1e-6 AS FLOAT)) AS width FROM lineitem GROUP BY 1),
+s AS (SELECT l_orderkey, l_linenumber, c, lo, width, {index_sql(15)} AS k FROM (SELECT l_orderkey, l_linenumber, c, CAST(l_extendedprice AS FLOAT) AS v, lo, width FROM lineitem JOIN rg ON l_returnflag = c))"""
+
+
+@query(f"{PRICES_SQL} SELECT l_orderkey, l_linenumber, c, k, {value_sql(15)} AS q FROM s")
+def posthoc_quantize_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prices of each flag on a grid of their own."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("c"), F.col("l_extendedprice").alias("v"))
+    return Q.quantize_posthoc(rows, "c", "v", BITS).select("l_orderkey", "l_linenumber", "c", "k", "q")
+
+
 @query(
     f"WITH {E_SQL}, {RANGE_SQL}, s AS (SELECT y, x, v, lo, width, {index_sql(255, 'even')} AS k FROM e, rg), q AS (SELECT *, {value_sql(255)} AS q FROM s) "
     "SELECT y, CAST(x AS INTEGER) AS x, k, q, q <> v AS moved FROM q"
@@ -153,6 +164,18 @@ def entropy_order0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.order0(Q.quantize_posthoc(prices(spark, sf_dir), "c", "v", BITS), ["c"], "k").select("c", "n", r6(F.col("bits")).alias("bits"))
 
 
+@query(f"{SYM_SQL} SELECT k, count(*) AS n FROM q GROUP BY 1")
+def symbol_histogram_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D8 over the indices of plane E."""
+    return R.histogram(symbols_e(spark, sf_dir), [], "k")
+
+
+@query(f"{SYM_SQL}, h AS (SELECT k, count(*) AS n FROM q GROUP BY k) SELECT CAST(sum(n) AS BIGINT) AS n, round(-sum(n * log2(n / total)), 6) AS bits FROM (SELECT *, sum(n) OVER () AS total FROM h)")
+def entropy_order0_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D9 over the indices of plane E."""
+    return R.order0(symbols_e(spark, sf_dir), ["c"], "k").select("n", r6(F.col("bits")).alias("bits"))
+
+
 NEAR_SQL = "n AS (SELECT y, x, k, lag(k) OVER (PARTITION BY x ORDER BY y) AS up, lag(k) OVER (PARTITION BY y ORDER BY x) AS lf FROM q)"
 CTX_SQL = """t3 AS (SELECT coalesce(up, 0) AS u, coalesce(lf, 0) AS l, k, count(*) AS n FROM n GROUP BY ALL), t2 AS (SELECT u, l, sum(n) AS n FROM t3 GROUP BY u, l),
 tot AS (SELECT count(*) AS n FROM q), ctx AS (SELECT (SELECT -sum(t3.n * log2(t3.n / tot.n)) FROM t3, tot) - (SELECT -sum(t2.n * log2(t2.n / tot.n)) FROM t2, tot) AS bits)"""
@@ -350,10 +373,10 @@ def footprint_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.footprint_sums(pixels, "d", (64, h), (16, 16))
 
 
-@query(f"SELECT greatest(0, least(15, CAST(floor({U_SQL.format(p='p', n='70')} * CAST(16 AS FLOAT)) AS INTEGER))) AS t, CAST(min(p) AS INTEGER) AS first, CAST(max(p) + 1 AS INTEGER) AS past FROM range(70) r(p) GROUP BY 1")
+@query(f"WITH hh AS (SELECT count(*) AS h FROM embeddings) SELECT greatest(0, least(15, CAST(floor({U_SQL.format(p='vec_id', n='h')} * CAST(16 AS FLOAT)) AS INTEGER))) AS t, CAST(min(vec_id) AS INTEGER) AS first, CAST(max(vec_id) + 1 AS INTEGER) AS past FROM embeddings, hh GROUP BY 1")
 def texel_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C5, G4."""
-    return G.texel_ranges(spark, 70, 16)
+    """Which rows of plane E each of 16 texels has."""
+    return G.texel_ranges(spark, table(spark, sf_dir, "embeddings").count(), 16)
 
 
 @query(f"WITH {E_SQL} SELECT y // 8 AS \"by\", x // 8 AS bx, count(*) AS n, min(v) AS low, max(v) AS high FROM e GROUP BY 1, 2")
