@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -196,6 +196,7 @@ class LineIndex:
     min_docs: int
     min_chars: int
     max_filter_bytes: int = 32 << 20
+    keys_per_shard: int = 1 << 20
 
     @classmethod
     def build(cls, docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keys_per_shard: int = 1 << 20) -> LineIndex:
@@ -203,7 +204,7 @@ class LineIndex:
         refs = materialize(_counted(docs, text_col, min_chars), "line-refs")
         n_shards = max(1, -(-refs.count() // keys_per_shard))
         frequent = refs.where(F.col("refs") >= min_docs).select("key")
-        return cls(refs, materialize(_filters(frequent, n_shards), "line-filters"), n_shards, min_docs, min_chars)
+        return cls(refs, materialize(_filters(frequent, n_shards), "line-filters"), n_shards, min_docs, min_chars, keys_per_shard=keys_per_shard)
 
     def insert(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
         return self._changed(docs, text_col, 1)
@@ -216,6 +217,11 @@ class LineIndex:
         delta = _counted(docs, text_col, self.min_chars).withColumn("refs", F.col("refs") * sign)
         both = self.refs.withColumn("old", F.col("refs")).unionByName(delta.withColumn("old", F.lit(0).cast("long")))
         summed = materialize(both.groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("old").alias("old")), "line-sums")
+        needed = -(-summed.where("refs > 0").count() // self.keys_per_shard)
+        if needed > 2 * self.n_shards:  # shards have outgrown their size: deal the keys anew
+            refs = summed.where(F.col("refs") > 0).select("key", "refs")
+            frequent = refs.where(F.col("refs") >= self.min_docs).select("key")
+            return replace(self, refs=refs, filters=materialize(_filters(frequent, needed), "line-filters"), n_shards=needed)
         moved = summed.where((F.col("refs") >= self.min_docs) != (F.col("old") >= self.min_docs)).select(_shard(self.n_shards).alias("shard"), "key", (F.col("refs") >= self.min_docs).alias("enters"))
         n_shards = self.n_shards
 
@@ -235,7 +241,7 @@ class LineIndex:
         frequent = refs.where(F.col("refs") >= self.min_docs)
         again = frequent.join(changed.where(F.col("filter").isNull()).select("shard"), _shard(self.n_shards) == F.col("shard"), "left_semi")
         filters = changed.where(F.col("filter").isNotNull()).unionByName(_filters(again.select("key"), self.n_shards))
-        return LineIndex(refs, materialize(filters, "line-filters"), self.n_shards, self.min_docs, self.min_chars, self.max_filter_bytes)
+        return replace(self, refs=refs, filters=materialize(filters, "line-filters"))
 
     def _rounds(self) -> Iterator[dict[int, bytes]]:
         """The filters, some at a time."""

@@ -745,6 +745,14 @@ def test_line_index_is_reversible(spark, lined):
     assert texts(back) == texts(first)
 
 
+def test_shards_split_as_an_index_grows(spark, lined):
+    index = line_dedup.LineIndex.build(docs_of(spark, lined[:3]), min_docs=5, keys_per_shard=8)
+    grown = index.insert(docs_of(spark, lined[3:]))
+    assert grown.n_shards > 2 * index.n_shards and grown.n_shards * 8 >= grown.refs.count()
+    got = grown.apply(docs_of(spark, lined)).collect()
+    assert sorted(str((r["doc_id"], r["__n_lines"], r["__n_dropped"], r["text"])) for r in got) == brute_lines(lined, 1, 5)
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     keys = [rng.bytes(16) for _ in range(5000)]
