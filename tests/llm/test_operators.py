@@ -47,7 +47,7 @@ def test_token_counts_equal_the_library(spark, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
     odd = [(400, "it's <|endoftext|> a b՘c <|endoftext|>"), (401, "  lead\n\n trail  "), (402, "\U0001f600 你好 1٢½ x́"), (403, "".join(map(chr, range(0x530, 0x600)))), (404, "".join(map(chr, range(128))) * 2), (405, "<|endoftext|>")]
-    got = token_counts.count_tokens(docs_of(spark, rows + odd), path, part_bytes=500).collect()
+    got = token_counts.count_tokens(docs_of(spark, rows + odd), path, part_bytes=500, group_bytes=5000).collect()
     want = sorted(((i is None, i or 0), len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows + odd)
     assert sorted(((r[0] is None, r[0] or 0), r[1], r[2]) for r in got) == want
 
@@ -64,14 +64,17 @@ def test_token_counts_cut_long_texts_safely():
 
 
 def test_pieces_are_counted_once_for_each_pre_token(spark, monkeypatch):
-    """One table of distinct pre-tokens: every part's pre-tokens are in it, none twice."""
+    """The groups together are one table of distinct pre-tokens: every part's pre-tokens are in it, none twice."""
     import public_tokenizers
 
     seen = []
     real = token_counts.materialize
-    monkeypatch.setattr(token_counts, "materialize", lambda df, name: seen.append((name, real(df, name).toPandas())) or real(df, name))
-    token_counts.count_tokens(docs_of(spark, [(i, f"the cat {i % 3}") for i in range(40)]), public_tokenizers.path("byte_bpe_50k.json"), part_bytes=30).collect()
-    assert sorted(dict(seen)["pieces"].token) == [" 0", " 1", " 2", " cat", "the"]
+    monkeypatch.setattr(token_counts, "materialize", lambda df, name: (seen.append(out.toPandas()) if name == "pieces" else None) or out if (out := real(df, name)) is not None else None)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = token_counts.count_tokens(docs_of(spark, [(i, f"the cat {i % 3}") for i in range(40)]), path, part_bytes=30, group_bytes=100)
+    assert {r["n_tokens"] for r in got.collect()} == {3}
+    pieces = seen[0]
+    assert pieces.part.nunique() > 10 and pieces.groupby("g")["distinct"].first().sum() == 5  # the, cat, 0, 1, 2
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("parts_")]
 
 
