@@ -7,7 +7,7 @@ adders sum three such planes into bit-sliced counters, and a word whose 64 lanes
 
 Small radii use exact keys: with radius r and n_blocks blocks of bits, two fingerprints within r agree on some
 n_blocks - r blocks, so every choice of that many blocks is a key, and no link is lost. Near-duplicate removal at a Jaccard
-similarity uses minimum hashes of the shingles as keys, a wide radius, and then an exact check on the shingle sets.
+similarity uses minimum hashes of the shingles as keys, a wide radius, sketches of the sets, and then an exact check on the shingle sets.
 
 Equal fingerprints are one node, so groups of exact copies cost nothing. A block of more than ``tile`` fingerprints is
 dealt out as pairs of tiles to different tasks. A block returns links that span its groups, not all pairs.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -147,17 +148,26 @@ def roots_of(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = Non
             return root
 
 
-def _links_in(prints: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (later, root) that span the groups of close fingerprints."""
+def _alike(sizes: np.ndarray, sketches: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes and sketches may have the similarity: sizes rule out nothing that has it, sketches hardly anything."""
+    ratio = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
+    return ratio & (np.bitwise_count(sketches[:, a] ^ sketches[:, b]).sum(axis=0, dtype=np.int64) <= sketch_radius(similarity))
+
+
+def _links_in(prints: np.ndarray, starts: np.ndarray, radius: int, alike: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (later, root) that span the groups of close fingerprints, of which only the pairs that are ``alike`` count."""
     root = np.arange(len(prints))
     for a, b in close_pairs(prints, starts, radius):
+        if alike is not None:
+            keep = alike(a, b)
+            a, b = a[keep], b[keep]
         root = roots_of(len(prints), a, b, root)
     at = np.flatnonzero(root != np.arange(len(prints)))
     return at, root[at]
 
 
-def _compare(radius: int) -> Callable:
-    """Streams rows (key, tile keys, node, fp) sorted by block; yields spanning links (a, b) of each block."""
+def _compare(radius: int, similarity: float) -> Callable:
+    """Streams rows (key, tile keys, node, fp[, n, s0, s1]) sorted by block; yields spanning links (a, b) of each block."""
 
     def links(block: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
         rows = pa.Table.from_batches(block).combine_chunks()
@@ -174,7 +184,11 @@ def _compare(radius: int) -> Callable:
             return None, rest
         node, prints = node[:end][keep], fp[:end][keep].view(np.uint64)
         kept = sizes[sizes > 1]
-        a, b = _links_in(prints, np.cumsum(kept) - kept, radius)
+        alike = None
+        if similarity:
+            n, sketches = rows["n"].to_numpy()[:end][keep], np.stack([rows[c].to_numpy()[:end][keep].view(np.uint64) for c in SKETCH])
+            alike = lambda a, b: _alike(n, sketches, a, b, similarity)
+        a, b = _links_in(prints, np.cumsum(kept) - kept, radius, alike)
         return (pa.RecordBatch.from_arrays([pa.array(node[b]), pa.array(node[a])], names=["a", "b"]) if len(a) else None), rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +206,18 @@ def _compare(radius: int) -> Callable:
     return run
 
 
-def candidate_links(keyed: DataFrame, radius: int, *, tile: int = TILE) -> DataFrame:
-    """Spanning links (a, b) among rows keyed(key long, node long, fp long) of one key whose fingerprints are within the radius."""
+def candidate_links(keyed: DataFrame, radius: int, *, tile: int = TILE, similarity: float = 0.0) -> DataFrame:
+    """Spanning links (a, b) among rows keyed(key long, node long, fp long) of one key whose fingerprints are within the radius.
+
+    With a ``similarity`` the columns n int, s0 and s1 long hold the size and the sketch of each set, and only pairs count that may be so similar.
+    """
+    carried = ["node", "fp", *(("n", *SKETCH) if similarity else ())]
     big = materialize(keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "big-blocks")
     mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     partners = F.transform(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1), lambda t: F.struct(F.least(t, F.coalesce(mine, F.lit(0))).alias("i"), F.greatest(t, F.coalesce(mine, F.lit(0))).alias("j")))
-    dealt = keyed.join(big, "key", "left").select("key", "node", "fp", F.explode(partners).alias("p")).select("key", "p.i", "p.j", "node", "fp")
+    dealt = keyed.join(big, "key", "left").select("key", *carried, F.explode(partners).alias("p")).select("key", "p.i", "p.j", *carried)
     width = shuffle_width(keyed.sparkSession)
-    return dealt.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(radius), "a long, b long")
+    return dealt.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(radius, similarity), "a long, b long")
 
 
 def block_keys(fp: Column, radius: int, n_blocks: int) -> Column:
@@ -249,6 +267,26 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Near copies by similarity: minimum-hash keys, a wide radius, and an exact check.
 
 N_KEYS = 6
+#: A bit of the minimum under each of 128 hash functions, in two words.
+SKETCH_BITS, SKETCH = 128, ("s0", "s1")
+_SKETCHERS = np.random.default_rng(SEED + 1).integers(0, 1 << 31, SKETCH_BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def sketch_radius(similarity: float) -> int:
+    """Sketches of two sets of the similarity differ in more bits with a probability of less than 0.00005."""
+    p = (1 - similarity) / 2
+    tail, at = 0.0, SKETCH_BITS
+    while at and (tail := tail + comb(SKETCH_BITS, at) * p**at * (1 - p) ** (SKETCH_BITS - at)) < 5e-5:
+        at -= 1
+    return at
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Two words of one bit for each hash function: two sets differ in a bit with half the probability that their minima differ."""
+    h, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(SKETCH_BITS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(h), 1024):
+        least = np.minimum(least, (_SKETCHERS[:, None] * h[None, at : at + 1024]).min(axis=1))
+    return np.packbits(least * np.uint32(0x9E3779B1) >> np.uint32(31) == 1, bitorder="little").view("<u8")
 
 
 def _set_of(text: bytes, width: int) -> np.ndarray:
@@ -260,15 +298,17 @@ def _signatures(width: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 2):
-            prints, sizes, digests, keys = [], [], [], []
+            prints, sizes, digests, keys, sketches = [], [], [], [], []
             for v in batch.column(2):
                 s = _set_of(v.as_py() or b"", width)
                 prints.append(fingerprint(s))  # of the set, as the similarity is: repeats within a text count for nothing
                 sizes.append(len(s))
+                sketches.append(sketch(s))
                 digests.append(xxhash.xxh3_128_digest(s.astype("<u8").tobytes()))
                 keys.append([xxhash.xxh3_64_intdigest(k.to_bytes(1, "little") + int((s * m).min()).to_bytes(8, "little")) >> 1 for k, m in enumerate(multipliers)] if len(s) else [])
             columns = [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "hash", "fp", "n", "digest", "keys"])
+            columns += [pa.array(np.ascontiguousarray(w).view(np.int64)) for w in np.array(sketches, np.uint64).reshape(-1, len(SKETCH)).T]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "hash", "fp", "n", "digest", "keys", *SKETCH])
 
     return run
 
@@ -336,14 +376,16 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Two documents are linked when the sets of their ``width``-word shingles (all words, where there are fewer) have a Jaccard similarity
     of ``similarity`` or more; the document with the smallest id of each connected group stays. Two linked ones share one of six
     minimum hashes with probability 1 - 0.2**6 at a similarity of 0.8, and the fingerprints of their sets lie within 20 of 64 bits with
-    more than 0.999; what is found is checked exactly. Texts without words, null or empty, are copies of each other; so are repeated rows. A null id is
+    more than 0.999. Fingerprints alone would chain a share of the corpus that grows with it into one group, whose texts would have to meet
+    each other; so a pair's set sizes and sketches of 128 bits must allow the similarity too (one in 20,000 pairs at 0.8 is lost by that,
+    fewer above). What is found is checked exactly. Texts without words, null or empty, are copies of each other; so are repeated rows. A null id is
     never kept where another is there. Other columns are not read. A text of any length is compared whole; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
-    signed = materialize(rows.mapInArrow(_signatures(width), f"id {kind}, hash long, fp long, n int, digest binary, keys array<long>").withColumn("node", F.xxhash64("digest")), "signatures")
-    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("any"), F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")), "different-texts")
-    near = components(candidate_links(nodes.select(F.explode("keys").alias("key"), "node", "fp"), radius))
+    signed = materialize(rows.mapInArrow(_signatures(width), f"id {kind}, hash long, fp long, n int, digest binary, keys array<long>, s0 long, s1 long").withColumn("node", F.xxhash64("digest")), "signatures")
+    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("any"), F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), *(F.first(c).alias(c) for c in ("n", *SKETCH)), F.count(F.lit(1)).alias("copies")), "different-texts")
+    near = components(candidate_links(nodes.select(F.explode("keys").alias("key"), "node", "fp", "n", *SKETCH), radius, similarity=similarity))
     asked = materialize(near.join(nodes, "node").select("root", "node", "fp", F.col("any.id").alias("i"), F.col("any.hash").alias("h")), "near-texts")
     # Only texts that may be asked for shuffle.
     wanted = Filter(asked.select("h"))
