@@ -3,7 +3,7 @@
 Every word, every pair of neighbouring words and every character n-gram (3 to 5 bytes of the text as it stands, over word borders
 too, runs of blanks left out) hashes to a row of one table of learned vectors. A document is the average of its features' vectors, a
 softmax layer gives the class. Vectors and layer are trained together by stochastic gradient descent in numpy, on a
-bounded sample of labelled documents. No feature is written for a kind of bad text; whatever decides is learned.
+bounded sample of labelled documents, whose features wait packed: 1 to 2 bytes each. No feature is written for a kind of bad text; whatever decides is learned.
 
 With two classes the score needs one number per feature: the vector's product with the difference of the two
 output rows. Scoring therefore looks up one float per feature in a table of fixed size (1 MB), which is broadcast, and
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,8 @@ BITS = 18
 GRAMS = (3, 4, 5)
 REACH = 64
 BLOCK_BYTES = 1 << 17
+#: Bytes of training text, or one text, whose features are counted at once.
+COUNT_BYTES = 1 << 16
 _P = 0x9E3779B97F4A7C15
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -86,13 +89,28 @@ def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         before, before_text = word[-1:], text[-1:]
 
 
-def counted(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each document's distinct feature buckets and their shares of all its features; some documents at a time."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+def _pack(bucket: np.ndarray, count: np.ndarray) -> tuple[int, bytes]:
+    """Distinct sorted buckets and how often each occurs, compressed: gaps and counts, byte planes apart."""
+    both = np.stack([np.diff(bucket, prepend=0), count]).astype("<u4")
+    blob = zstandard.ZstdCompressor(level=1).compress(both.view(np.uint8).reshape(2, -1, 4).transpose(2, 0, 1).tobytes())
+    return len(bucket), bytes(memoryview(blob))  # a copy: the compressor's result keeps the room of the worst case
+
+
+def _unpack(packed: tuple[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets, and their shares of all features."""
+    n, blob = packed
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, 2, n)
+    gap, count = np.ascontiguousarray(planes.transpose(1, 2, 0)).reshape(2, -1).view("<u4")
+    return np.cumsum(gap, dtype=np.int64), (count / max(1, int(count.sum(dtype=np.int64)))).astype(np.float32)
+
+
+def counted(texts: list[bytes]) -> list[tuple[int, bytes]]:
+    """Each document's distinct feature buckets and their counts, packed (a tenth of them as arrays); some documents at a time."""
+    out: list[tuple[int, bytes]] = []
     at = 0
     while at < len(texts):
         size, upto = 0, at
-        while upto < len(texts) and size < 1 << 20:
+        while upto < len(texts) and size < COUNT_BYTES:
             size += len(texts[upto])
             upto += 1
         found = [np.unique((text.astype(np.int64) << BITS) | bucket, return_counts=True) for bucket, text in features(texts[at:upto])]
@@ -100,7 +118,7 @@ def counted(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         n = np.bincount(place, np.concatenate([c for _, c in found]), len(key)) if found else np.zeros(0)
         cuts = np.searchsorted(key >> BITS, np.arange(upto - at + 1))
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            out.append((key[s:e] & ((1 << BITS) - 1), (n[s:e] / max(1, n[s:e].sum())).astype(np.float32)))
+            out.append(_pack(key[s:e] & ((1 << BITS) - 1), n[s:e]))
         at = upto
     return out
 
@@ -130,7 +148,7 @@ def fit(texts: list[bytes], labels: list[int], *, dim: int = 8, epochs: int = 8,
     step, steps = 0, max(1, epochs * len(docs))
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
-            at, share = docs[i]
+            at, share = _unpack(docs[i])
             now = rate * (1 - step / steps)
             step += 1
             rows = vectors[at]

@@ -294,6 +294,23 @@ def test_quality_fit_equals_a_plain_one():
         assert score == pytest.approx(1 / (1 + math.exp(z[0] - z[1])), abs=1e-4)
 
 
+def test_quality_training_holds_features_packed():
+    """What waits for its turn in training takes 3 bytes a feature at most, and comes back as it was."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghij é") for _ in range(4000)).encode() for _ in range(60)] + [b"", b"word " * 70000]
+    tracemalloc.start()
+    docs = quality.counted(texts)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    want = [np.unique(slow_features(t), return_counts=True) for t in (texts[0], texts[-2], texts[-1])]
+    assert held < 3 * 60 * len(want[0][0])
+    for (bucket, count), doc in zip(want, (docs[0], docs[-2], docs[-1]), strict=True):
+        got, share = quality._unpack(doc)
+        assert got.tolist() == bucket.tolist() and np.array_equal(share, (count / max(1, count.sum())).astype(np.float32))
+
+
 def test_quality_sample_is_bounded_by_bytes(spark):
     rows = [(i, f"{i} " * (1 + i % 50)) for i in range(300)]
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
@@ -418,6 +435,36 @@ def test_near_copies_that_repeat_differently(spark):
     assert got == [*((2 * k + 1, 2 * k) for k in range(12)), (101, 100)]
 
 
+def test_near_copies_do_not_chain_texts_that_share_a_passage(spark, monkeypatch):
+    """Texts that share a sixth of their shingles are no candidates; a chain of them would send each text once for each tile of it."""
+    rng = random.Random(9)
+    passage = [f"w{rng.randrange(10**6)}" for _ in range(64)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(136)])) for i in range(300)]
+    rows += [(1000 + i, f"{rows[i][1]} more") for i in range(5)]
+    sizes = []
+
+    def seen(edges):
+        out = components.components(edges)
+        sizes.append(max((r["count"] for r in out.groupBy("root").count().collect()), default=0))
+        return out
+
+    monkeypatch.setattr(simhash, "components", seen)
+    got = sorted((r["id"], r["keeper"]) for r in simhash.near_copies(docs_of(spark, rows)).collect())
+    assert got == [(1000 + i, i) for i in range(5)]
+    assert sizes[0] <= 20
+
+
+def test_sketches_lose_hardly_any_pair():
+    rng = np.random.default_rng(2)
+    far = []
+    for n in (9, 90, 900):
+        for _ in range(400):
+            pool = rng.integers(0, 1 << 63, n + n // 9, dtype=np.uint64) * np.uint64(2)
+            a, b = simhash.sketch(pool[:n]), simhash.sketch(pool[n // 9 :])  # a similarity of 0.8
+            far.append(int(np.bitwise_count(a ^ b).sum()))
+    assert max(far) <= simhash.sketch_radius(0.8) and 11.5 < np.mean(far) < 14 and simhash.sketch(np.zeros(0, np.uint64)).shape == (2,)
+
+
 @pytest.mark.parametrize("most", [1 << 18, 64])
 def test_prefilter_never_rules_out_a_key(spark, most):
     keys = spark.range(0, 60000, 3).select((F.xxhash64("id")).alias("k"))
