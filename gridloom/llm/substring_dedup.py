@@ -204,8 +204,11 @@ def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def _arrange(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order, and the places that go with them. Both in one word where they fit: sorting values is several times faster than sorting indices."""
-    if len(place) < PLACES and int(key.max(initial=0)) < 1 << (63 - PLACE_BITS):
+    """Keys in order, and the places that go with them. Both in one word where they fit: sorting values is several times faster than sorting indices.
+
+    What must fit is the largest place: a few ties of a large text may stand anywhere in it.
+    """
+    if int(place.max(initial=0)) < PLACES and int(key.max(initial=0)) < 1 << (63 - PLACE_BITS):
         packed = np.sort((key << PLACE_BITS) | place)
         return packed >> PLACE_BITS, packed & PLACES
     by = np.argsort(key, kind="stable")
@@ -454,6 +457,16 @@ def _decide(given: list[tuple[bytes, np.ndarray, np.ndarray]], length: int) -> l
     return out
 
 
+def _slices(keys: list[np.ndarray], sizes: list[np.ndarray], most: int) -> np.ndarray:
+    """First keys of slices of about ``most`` bytes: a new one begins with the first key past each multiple, so one key's bytes at most come on top."""
+    key, size = np.concatenate(keys), np.concatenate(sizes)
+    order = np.argsort(key)
+    key, size = key[order], size[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    before = (np.cumsum(size) - size)[new]
+    return key[new][np.concatenate([[True], before[1:] // most != before[:-1] // most])]
+
+
 def _answer_segments(length: int, n_groups: int, slice_bytes: int):
     """Of one group: runs of windows that a smaller document holds too, for the chunks that have a larger one."""
 
@@ -464,10 +477,10 @@ def _answer_segments(length: int, n_groups: int, slice_bytes: int):
             inside = (np.cumsum(key, dtype=np.uint32).astype(np.uint64) * np.uint64(n_groups)) & np.uint64(0xFFFFFFFF)  # place within the group's range
             ends = np.concatenate([[0], np.cumsum(n.astype(np.int64) + length - 1)])
             held.append((inside, which, off, low, low + spread, ends, zstandard.ZstdDecompressor().decompress(text.as_py())))
-        slices = max(1, -(-sum(len(h[-1]) for h in held) // slice_bytes))
-        cuts = [np.searchsorted(_bucket(h[0], slices), np.arange(slices + 1)) for h in held]
+        begins = _slices([h[0] for h in held], [np.diff(h[-2]) for h in held], slice_bytes)
+        cuts = [np.append(np.searchsorted(h[0], begins), len(h[0])) for h in held]
         found: list[list[tuple]] = [[] for _ in held]
-        for k in range(slices):
+        for k in range(len(begins)):
             rows_here = [i for i, c in enumerate(cuts) if c[k] < c[k + 1]]
             given = []
             for i in rows_here:

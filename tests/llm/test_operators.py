@@ -184,6 +184,34 @@ def test_long_texts_sort_like_short_ones(monkeypatch):
     assert (both[0] == both[1]).all()
 
 
+def test_few_ties_in_a_long_text(monkeypatch):
+    """Ties that are few enough to be sorted with their places stand beyond the largest place that fits (a slice of over 2 MB, at 21 bits)."""
+    monkeypatch.setattr(substring_dedup, "PLACE_BITS", 10)
+    monkeypatch.setattr(substring_dedup, "PLACES", (1 << 10) - 1)
+    rng = np.random.default_rng(7)
+    pieces = [rng.integers(97, 122, 90).astype(np.uint8).tobytes() for _ in range(60)]
+    pieces += [bytes(rng.integers(97, 122, 10).astype(np.uint8)) + p[20:80] for p in pieces[-5:]]
+    docs = np.arange(len(pieces))[::-1].copy()
+    best = {}
+    for p, d in zip(pieces, docs.tolist(), strict=True):
+        for i in range(len(p) - 49):
+            best[p[i : i + 50]] = min(d, best.get(p[i : i + 50], 99))
+    got, _ = substring_dedup.least_holders(pieces, docs, 50)
+    assert got.tolist() == [best[p[i : i + 50]] for p in pieces for i in range(len(p) - 49)]
+
+
+def test_slices_of_a_group_are_cut_by_bytes():
+    """However unevenly keys lie, a slice holds its share of bytes and what one key has at most."""
+    rng = np.random.default_rng(9)
+    keys = [np.sort(rng.choice(np.concatenate([np.arange(300), np.array([1 << 31])]), n).astype(np.uint64)) for n in (500, 700)]
+    sizes = [rng.integers(50, 114, len(k)) for k in keys]
+    begins = substring_dedup._slices(keys, sizes, 4000)
+    key, size = np.concatenate(keys), np.concatenate(sizes)
+    held = np.bincount(np.searchsorted(begins, key, side="right") - 1, size)
+    assert begins[0] == key.min() and (np.diff(begins.astype(np.int64)) > 0).all()
+    assert len(held) == len(begins) >= size.sum() / 4000 and held.max() <= 4000 + max(size[key == k].sum() for k in np.unique(key))
+
+
 def test_substring_dedup_text(spark):
     a = "The quick brown fox jumps over the lazy dog while it rains in spring."
     got = {r["doc_id"]: bytes(r["kept"]).decode() for r in substring_dedup.remove_repeats(docs_of(spark, [(2, f"new {a} end"), (1, a)]), with_text=True).collect()}
