@@ -80,17 +80,19 @@ def evaluate_filter(target: DataFrame, levels: list[Level], network: Network, im
     the target(y, x, v array). Pixels whose taps cross a block of level 0 count as edge. Offsets are rows of the pixels, so that
     all are evaluated in one pass.
     """
-    recon = decode(features(target.select("y", "x"), levels, image, positions), network).select("y", "x", F.col("out").alias("v"))
+    channels = network.widths[-1]
+    # Decoded and target pixels side by side in one array: what moves both is one grouping of cells and one join over all offsets' pixels.
+    decoded = decode(features(target.select("y", "x", F.col("v").alias("t")), levels, image, positions), network)
+    pair = decoded.select("y", "x", F.concat("out", F.col("t").cast("array<double>")).alias("v"))
     rows = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x).alias("ox"), F.lit(y).alias("oy")) for k, (x, y) in enumerate(offsets)))
     asked = target.select("y", "x", F.explode(rows).alias("o")).select("y", "x", "o.k", "o.ox", "o.oy")
     shift = (F.col("ox"), F.col("oy"))
-    both = sample_arrays(asked, recon, image, image, False, shift, "ref")
-    both = sample_arrays(both, target, image, image, False, shift, "tgt")
+    both = sample_arrays(asked, pair, image, image, False, shift, "moved")
+    both = both.select("y", "x", "k", "ox", "oy", F.slice("moved", 1, channels).alias("ref"), F.slice("moved", channels + 1, channels).alias("tgt"))
     smooth = [Level(levels[0].texels, levels[0].size, False), *levels[1:]]
     each = decode(features(both, smooth, image, positions, shift), network)
     block = tuple(max(1, n // m) for n, m in zip(image, levels[1].size, strict=True)) if len(levels) > 1 else image
     square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
-    channels = network.widths[-1]
     told = each.select("k", "ox", "oy", square("out", "ref").alias("e"), square("ref", "tgt").alias("er"), square("out", "tgt").alias("ei"), inside_block(levels[0].size, image, block, shift).alias("inner"))
     n, n_in = F.count(F.lit(1)), F.count_if("inner")
     part = lambda inner: F.coalesce(F.sum(F.when(F.col("inner") == inner, F.col("e"))), F.lit(0.0))

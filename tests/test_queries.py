@@ -33,6 +33,12 @@ def test_query(spark, small, sql, name):
     assert sorted(tuple(text(r[c]) for c in sorted(columns)) for r in rows) == sorted(tuple(text(r[columns.index(c)]) for c in sorted(columns)) for r in got.fetchall())
 
 
+def test_filter_evaluation_moves_both_images_at_once(spark, small):
+    """Two levels at two places are four joins; decoded and target image are moved by one more, not by one each."""
+    plan = codec.QUERIES["evaluate_filter"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 5
+
+
 def test_entry(spark):
     import __spark_entry__
 
