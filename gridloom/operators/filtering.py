@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import f32
-from .decode import Network, decode
-from .grid import cells, position_features, taps
+from .decode import Network
+from .grid import cells, parse_positions, position_features, taps, taps_batch
 
 #: Parts of a pixel by which images are moved (fixed values).
 OFFSETS = ((0.5, 0.0), (0.0, 0.5), (0.5, 0.5), (0.25, 0.25), (0.75, 0.5))
+#: Texels up to which a level is broadcast when images are moved.
+BROADCAST_TEXELS = 1 << 14
+#: Pixels that numpy works on at a time (one row of an image at least).
+PIXELS = 1 << 14
+#: Of an offset: pixels, those within blocks, those with each error; errors of inputs to reference within and across blocks, reference to target, inputs to target.
+COUNTS, ERRORS = ("n", "n_in", "n_e", "n_er", "n_ei"), ("e_in", "e_out", "er", "ei")
 
 
 @dataclass(frozen=True)
@@ -60,43 +70,204 @@ def features(pixels: DataFrame, levels: list[Level], image: tuple[int, int], pos
     return out.select(*pixels.columns, F.concat(*parts).alias("f"))
 
 
-def inside_block(level0: tuple[int, int], image: tuple[int, int], block: tuple[int, int], shift: tuple = (0.0, 0.0)) -> Column:
-    """Whether all taps of a pixel lie in one block of texels."""
-    same = []
-    for a, n, m, size, d in zip("xy", image, level0, block, shift, strict=True):
-        t = taps(F.col(a), n, m, shift=d)
-        same.append(F.floor(t["lo"] / size) == F.floor(t["hi"] / size))
-    return same[0] & same[1]
-
-
 def _psnr(error: Column, n: Column) -> Column:
     return F.when((n > 0) & (error > 0), 10 * F.log10(n / error)).otherwise(99.0)
 
 
 def evaluate_filter(target: DataFrame, levels: list[Level], network: Network, image: tuple[int, int], positions: str = "", offsets: tuple = OFFSETS) -> DataFrame:
+    """evaluate_rows() of target(y, x, v array), a row per pixel."""
+    value = F.coalesce("v", F.array_repeat(F.lit(None), network.widths[-1]))
+    return evaluate_rows(_packed(target.select("y", "x", value.alias("v"))), levels, network, image, positions, offsets)
+
+
+def evaluate_rows(
+    rows: DataFrame, levels: list[Level], network: Network, image: tuple[int, int], positions: str = "", offsets: tuple = OFFSETS, spread: Callable[[np.ndarray], np.ndarray] | None = None
+) -> DataFrame:
     """(k, ox, oy, all, interior, edge, edge_pct, reference_target, inputs_target) for each offset: decibels between three ways to move an image.
 
     The reference filters the decoded image bilinearly, the second way decodes filtered inputs (level 0 bilinear too), the third filters
-    the target(y, x, v array). Pixels whose taps cross a block of level 0 count as edge. Offsets are rows of the pixels, so that
-    all are evaluated in one pass.
+    the target. Pixels whose taps cross a block of level 0 count as edge. A pixel counts though a tap of it is missing; its errors don't, and
+    a figure without any error is null.
+
+    rows(y, x array<int>, v array) has a row for each row of the image, with the values of its pixels one after the other; ``spread`` makes the
+    target's channels of the values (.., stored), so that few need to move. Rows find the rows that they read by equi-joins; pixels are decoded
+    and compared within a row, in numpy, and only sums leave it.
     """
-    channels = network.widths[-1]
-    # Decoded and target pixels side by side in one array: what moves both is one grouping of cells and one join over all offsets' pixels.
-    decoded = decode(features(target.select("y", "x", F.col("v").alias("t")), levels, image, positions), network)
-    pair = decoded.select("y", "x", F.concat("out", F.col("t").cast("array<double>")).alias("v"))
-    rows = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x).alias("ox"), F.lit(y).alias("oy")) for k, (x, y) in enumerate(offsets)))
-    asked = target.select("y", "x", F.explode(rows).alias("o")).select("y", "x", "o.k", "o.ox", "o.oy")
-    shift = (F.col("ox"), F.col("oy"))
-    both = sample_arrays(asked, pair, image, image, False, shift, "moved")
-    both = both.select("y", "x", "k", "ox", "oy", F.slice("moved", 1, channels).alias("ref"), F.slice("moved", channels + 1, channels).alias("tgt"))
+    levels_of = lambda t, which, shift: _beside_levels(t, which, image, shift)
     smooth = [Level(levels[0].texels, levels[0].size, False), *levels[1:]]
-    each = decode(features(both, smooth, image, positions, shift), network)
-    block = tuple(max(1, n // m) for n, m in zip(image, levels[1].size, strict=True)) if len(levels) > 1 else image
-    square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
-    told = each.select("k", "ox", "oy", square("out", "ref").alias("e"), square("ref", "tgt").alias("er"), square("out", "tgt").alias("ei"), inside_block(levels[0].size, image, block, shift).alias("inner"))
-    n, n_in = F.count(F.lit(1)), F.count_if("inner")
-    part = lambda inner: F.coalesce(F.sum(F.when(F.col("inner") == inner, F.col("e"))), F.lit(0.0))
-    return told.groupBy("k", "ox", "oy").agg(
-        _psnr(F.sum("e"), n * channels).alias("all"), _psnr(part(True), n_in * channels).alias("interior"), _psnr(part(False), (n - n_in) * channels).alias("edge"),
-        (100 * (n - n_in) / n).alias("edge_pct"), _psnr(F.sum("er"), n * channels).alias("reference_target"), _psnr(F.sum("ei"), n * channels).alias("inputs_target"),
+    lines = cell_rows(levels_of(rows, levels, 0.0), image[1])
+    # Offsets of one height read the same rows.
+    asked = rows.select("y", "x", F.explode(F.array(*(F.lit(float(oy)) for oy in dict.fromkeys(oy for _, oy in offsets)))).alias("oy"))
+    asked = levels_of(asked, smooth, F.col("oy")).withColumn("c", _cell(image[1], image[1], F.col("oy")))
+    sums = asked.join(lines, "c").mapInArrow(_Filtered(levels, smooth, network, image, positions, offsets, spread), f"k int, ox double, oy double, {', '.join(f'{c} long' for c in COUNTS)}, {', '.join(f'{c} double' for c in ERRORS)}")
+    channels, total = network.widths[-1], sums.groupBy("k", "ox", "oy").agg(*(F.sum(c).alias(c) for c in COUNTS + ERRORS))
+    n, n_in = F.col("n"), F.col("n_in")
+    known = lambda count, figure: F.when(F.col(count) > 0, figure)
+    return total.select(
+        "k", "ox", "oy", known("n_e", _psnr(F.col("e_in") + F.col("e_out"), n * channels)).alias("all"), _psnr(F.col("e_in"), n_in * channels).alias("interior"), _psnr(F.col("e_out"), (n - n_in) * channels).alias("edge"),
+        (100 * (n - n_in) / n).alias("edge_pct"), known("n_er", _psnr(F.col("er"), n * channels)).alias("reference_target"), known("n_ei", _psnr(F.col("ei"), n * channels)).alias("inputs_target"),
     )
+
+
+def _packed(pixels: DataFrame) -> DataFrame:
+    """(y, x array<int>, v array) of pixels(y, x, v array): a row for each row of a grid, in order of x."""
+    line = pixels.groupBy("y").agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), "v"))).alias("t"))
+    return line.select("y", F.col("t.x").alias("x"), F.flatten("t.v").alias("v"))
+
+
+def _cell(n_pixels: int, n_texels: int, shift: Column | float, nearest: bool = False) -> Column:
+    """The texel row that a row reads, or else the gap between rows, -1 .. n_texels - 1."""
+    t = taps(F.col("y"), n_pixels, n_texels, nearest, shift)
+    return (t["lo"] if nearest else F.greatest(F.lit(-1), F.least(F.lit(n_texels - 1), t["at"]))).cast("long")
+
+
+def cell_rows(rows: DataFrame, n: int) -> DataFrame:
+    """(c, near, far): what rows(y, ..) hold above and below each gap between rows; beyond the border the last row stands in. Every gap is there, an absent row is null."""
+    y, end = F.col("y").cast("long"), lambda c, e: F.struct(c.cast("long").alias("c"), F.lit(e).alias("end"))
+    ends = F.array_compact(F.array(end(y, 0), F.when(y == 0, end(F.lit(-1), 0)), end(y - 1, 1), F.when(y == n - 1, end(F.lit(n - 1), 1))))
+    held = F.struct(*(c for c in rows.columns if c != "y")).alias("held")
+    dealt = rows.where(F.col("y").between(0, n - 1)).select(F.explode(ends).alias("at"), held).select("at.c", "at.end", "held")
+    dealt = dealt.unionByName(rows.sparkSession.range(-1, n).select(F.col("id").alias("c")), allowMissingColumns=True)
+    return dealt.groupBy("c").agg(*(F.max(F.when(F.col("end") == e, F.col("held"))).alias(name) for e, name in enumerate(("near", "far"))))
+
+
+def _beside_levels(rows: DataFrame, levels: list[Level], image: tuple[int, int], shift: Column | float) -> DataFrame:
+    """rows with l0, l1, ..: the texel rows (near, and far unless nearest) that each of the moved rows reads."""
+    for k, level in enumerate(levels):
+        w, h = level.size
+        texels = _packed(level.texels.where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1) & F.col("v").isNotNull()))
+        if level.nearest:
+            every = rows.sparkSession.range(h).select(F.col("id").alias("c"))
+            own = texels.select(F.col("y").cast("long").alias("c"), F.struct("x", "v").alias("near")).unionByName(every, allowMissingColumns=True)
+            found = own.groupBy("c").agg(F.max("near").alias("near")).select("c", F.struct("near").alias(f"l{k}"))
+        else:
+            found = cell_rows(texels, h).select("c", F.struct("near", "far").alias(f"l{k}"))
+        rows = rows.withColumn("c", _cell(image[1], h, shift, level.nearest)).join(F.broadcast(found) if w * h <= BROADCAST_TEXELS else found, "c").drop("c")
+    return rows
+
+
+def _dense(line: pa.StructArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (x array, v array, ..) as an array (row, x, channel); whether a place is there, and whether all of its channels are known."""
+    xs, vs = line.flatten()[:2]
+    x, v = xs.flatten().to_numpy(zero_copy_only=False), vs.flatten()
+    m = len(v) // len(x) if len(x) else 0
+    at = np.repeat(np.arange(len(line)), pc.list_value_length(xs).fill_null(0).to_numpy(zero_copy_only=False)) * width + x
+    inside = (x >= 0) & (x < width)
+    there, known = np.zeros(len(line) * width, bool), np.zeros(len(line) * width, bool)
+    there[at[inside]] = True
+    known[at[inside]] = True if v.null_count == 0 else v.is_valid().to_numpy(zero_copy_only=False).reshape(len(x), m).all(1)[inside]
+    v = v.to_numpy(zero_copy_only=False).reshape(len(x), m)
+    out = np.zeros((len(line) * width, m), v.dtype)
+    out[at[inside]] = v[inside]
+    return out.reshape(len(line), width, m), there.reshape(len(line), width), known.reshape(len(line), width)
+
+
+def _blend(tx: dict, ty: dict, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Bilinear samples of rows above and below, added up from left to right."""
+    one, fx, fy = np.float32(1), tx["f"][None, :, None], ty["f"][:, None, None]
+    lo, hi = tx["lo"], tx["hi"]
+    return (one - fx) * (one - fy) * near[:, lo] + fx * (one - fy) * near[:, hi] + (one - fx) * fy * far[:, lo] + fx * fy * far[:, hi]
+
+
+@dataclass(frozen=True)
+class _Shape:
+    """A level without its texels, which executors don't get."""
+
+    size: tuple[int, int]
+    nearest: bool
+
+
+class _Filtered:
+    """Counts and errors by offset of batches (y, x, oy, l0 .., near, far)."""
+
+    def __init__(self, levels: list[Level], smooth: list[Level], network: Network, image: tuple[int, int], positions: str, offsets: tuple, spread: Callable | None):
+        self.levels, self.smooth = ([_Shape(x.size, x.nearest) for x in which] for which in (levels, smooth))
+        self.network, self.image, self.positions, self.offsets, self.spread = network, image, parse_positions(positions), offsets, spread
+        if "lv1local" in self.positions and len(levels) < 2:
+            raise ValueError("lv1local needs a second level")
+        self.block = tuple(max(1, n // m) for n, m in zip(image, levels[1].size, strict=True)) if len(levels) > 1 else image
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, errors = np.zeros((len(self.offsets), len(COUNTS)), np.int64), np.zeros((len(self.offsets), len(ERRORS)))
+        for batch in batches:
+            heights = batch.column("oy").to_numpy()
+            for oy in np.unique(heights):
+                rows = batch.take(pa.array(np.flatnonzero(heights == oy)))
+                longest = max(self.image[0], pc.max(pc.list_value_length(rows.column("x"))).as_py() or 0)
+                step = max(1, PIXELS // longest)
+                for at in range(0, rows.num_rows, step):
+                    self.add(rows.slice(at, step), float(oy), counts, errors)
+        used = np.flatnonzero(counts[:, 0])
+        places = np.array(self.offsets, np.float64).reshape(-1, 2)[used]
+        columns = [used.astype(np.int32), *places.T, *counts[used].T, *errors[used].T]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["k", "ox", "oy", *COUNTS, *ERRORS])
+
+    def add(self, rows: pa.RecordBatch, oy: float, counts: np.ndarray, errors: np.ndarray) -> None:
+        y, xs = rows.column("y").to_numpy().astype(np.int64), rows.column("x")
+        x = xs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(x):
+            return
+        # Columns of the pixels asked for, and how often each is.
+        px, column = np.unique(x, return_inverse=True)
+        line = np.repeat(np.arange(len(y)), pc.list_value_length(xs).fill_null(0).to_numpy(zero_copy_only=False))
+        times = np.bincount(line * len(px) + column, minlength=len(y) * len(px)).reshape(len(y), len(px))
+        own = taps_batch(y, self.image[1], self.image[1], shift=oy)
+        (near, near_out, near_target), (far, far_out, far_target) = self.pixels(rows.column("near"), own["lo"]), self.pixels(rows.column("far"), own["hi"])
+        moved, inner_y = [rows.column(f"l{k}") for k in range(len(self.smooth))], self.same(y, 1, oy)
+        for k in (k for k, (_, height) in enumerate(self.offsets) if height == oy):
+            ox = self.offsets[k][0]
+            tx = taps_batch(px, self.image[0], self.image[0], shift=ox)
+            both = _blend(tx, own, near, far)
+            all_four = lambda a, b: a[:, tx["lo"]] & a[:, tx["hi"]] & b[:, tx["lo"]] & b[:, tx["hi"]]
+            ref_known, target_known = all_four(near_out, far_out), all_four(near_target, far_target)
+            ref, target = np.split(both, 2, axis=2)
+            out, known, _ = self.decoded(moved, self.smooth, y, px, oy, ox)
+            inner = inner_y[:, None] & self.same(px, 0, ox)[None, :]
+            pairs = ((out, ref, known & ref_known), (ref, target, ref_known & target_known), (out, target, known & target_known))
+            e, er, ei = (np.where(where & (times > 0), np.square(a - b).sum(2), 0.0) * times for a, b, where in pairs)
+            counts[k] += times.sum(), (times * inner).sum(), *((times * where).sum() for _, _, where in pairs)
+            errors[k] += e[inner].sum(), e[~inner].sum(), er.sum(), ei.sum()
+
+    def same(self, pixel: np.ndarray, axis: int, shift: float) -> np.ndarray:
+        """Whether both taps of a pixel on an axis lie in one block of level 0's texels."""
+        t = taps_batch(pixel, self.image[axis], self.levels[0].size[axis], shift=shift)
+        return t["lo"] // self.block[axis] == t["hi"] // self.block[axis]
+
+    def pixels(self, line: pa.StructArray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Decoded and target channels of whole rows of the image side by side, and where either is known. A pixel without a nearest texel is not in the image."""
+        width, channels = self.image[0], self.network.widths[-1]
+        value, there, known = _dense(line, width)
+        fields = line.flatten()
+        out, decoded, found = self.decoded(fields[2:], self.levels, y, np.arange(width), 0.0, 0.0)
+        if not there.any():
+            target = np.zeros((len(y), width, channels))
+        else:
+            target = (self.spread or (lambda v: v))(value).astype(np.float64)
+        return np.concatenate([out, target], 2), there & decoded, known & found
+
+    def decoded(self, texels: list, levels: list[_Shape], y: np.ndarray, x: np.ndarray, oy: float, ox: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The network's outputs at rows y and columns x moved by (ox, oy), where all of its inputs are known, and where the nearest texels are there."""
+        places = (len(y), len(x))
+        parts, known, found = [], np.ones(places, bool), np.ones(places, bool)
+        for level, line in zip(levels, texels, strict=True):
+            tx, ty = (taps_batch(p, n, m, level.nearest, d) for p, n, m, d in zip((x, y), self.image, level.size, (ox, oy), strict=True))
+            near, there, has = _dense((ends := line.flatten())[0], level.size[0])
+            known &= has[:, tx["lo"]] & has[:, tx["hi"]]
+            if level.nearest:
+                found &= there[:, tx["lo"]]
+                parts.append(near[:, tx["lo"]])
+                continue
+            far, _, has = _dense(ends[1], level.size[0])
+            known &= has[:, tx["lo"]] & has[:, tx["hi"]]
+            if known.any():
+                parts.append(_blend(tx, ty, near, far))
+        if not known.any():
+            return np.zeros((*places, self.network.widths[-1])), known, found
+        two, one = np.float32(2), np.float32(1)
+        for name in self.positions:
+            size = self.levels[1].size if name == "lv1local" else (1, 1)
+            tx, ty = (taps_batch(p, n, m, False, d) for p, n, m, d in zip((x, y), self.image, size, (ox, oy), strict=True))
+            at = "f" if name == "lv1local" else "u"
+            parts += [np.broadcast_to((two * tx[at] - one)[None, :, None], (*places, 1)), np.broadcast_to((two * ty[at] - one)[:, None, None], (*places, 1))]
+        inputs = np.concatenate([p.astype(np.float64) for p in parts], 2)
+        return self.network.run(inputs.reshape(-1, inputs.shape[2])).reshape(*places, -1), known, found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -99,6 +100,15 @@ def taps(pixel: Column, n_pixels: int, n_texels: int, nearest: bool = False, shi
     return {"at": i, "lo": held(i), "hi": held(i if nearest else i + 1), "f": f32(x - f32(i))}
 
 
+def taps_batch(pixel: np.ndarray, n_pixels: int, n_texels: int, nearest: bool = False, shift: float = 0.0) -> dict[str, np.ndarray]:
+    """taps() of numpy integers in the same float32 steps, with u, the centre itself."""
+    u = ((pixel.astype(np.float32) + np.float32(0.5) + np.float32(shift)).astype(np.float64) / n_pixels).astype(np.float32)
+    x = u * np.float32(n_texels) - np.float32(0 if nearest else 0.5)
+    i = np.floor(x).astype(np.int64)
+    lo, hi = (np.clip(k, 0, n_texels - 1) for k in (i, i if nearest else i + 1))
+    return {"u": u, "lo": lo, "hi": hi, "f": x - i.astype(np.float32)}
+
+
 def axis(spark, n_pixels: int, n_texels: int, nearest: bool = False) -> DataFrame:
     """The taps of every pixel of an axis: n rows instead of n x n."""
     t = taps(F.col("p"), n_pixels, n_texels, nearest)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,12 @@ def pixel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("y", F.col("x").cast("long").alias("x"), "f")
 
 
+def _three_channels(v: np.ndarray) -> np.ndarray:
+    """The target image of plane E's values (.., 1)."""
+    v = v.astype(np.float64)
+    return np.concatenate([v + 0.5, 0.5 - v, v / 2 + 0.5], -1)
+
+
 _BASE, _BASE_LAST = network_sql(IMAGE_NET, "src")
 _MOVED, _MOVED_LAST = network_sql(IMAGE_NET, "mv", "m")
 SHIFTS = ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(FI.OFFSETS))
@@ -69,9 +76,9 @@ round(100.0 * (n - ni) / n, 4) AS edge_pct, round(10 * log10(n * 3 / rt), 4) AS
 def evaluate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five offsets, three ways to move an image, over all pixels and those inside and across blocks."""
     both, h = levels(spark, sf_dir)
-    v = F.col("v").cast("double")
-    target = plane_e(spark, sf_dir).select("y", "x", F.array(v + 0.5, 0.5 - v, v / 2 + 0.5).alias("v"))
-    out = FI.evaluate_filter(target, both, IMAGE_NET, (64, h), "uv")
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+    rows = rows.select(F.col("vec_id").alias("y"), F.transform("embedding", lambda v, x: x).alias("x"), F.col("embedding").cast("array<float>").alias("v"))
+    out = FI.evaluate_rows(rows, both, IMAGE_NET, (64, h), "uv", spread=_three_channels)
     return out.select("k", *(F.round(c, 4).alias(c) for c in ("all", "interior", "edge", "edge_pct", "reference_target", "inputs_target")))
 
 
