@@ -20,7 +20,7 @@ OFFSETS = ((0.5, 0.0), (0.0, 0.5), (0.5, 0.5), (0.25, 0.25), (0.75, 0.5))
 #: Texels up to which a level is broadcast when images are moved.
 BROADCAST_TEXELS = 1 << 14
 #: Pixels that numpy works on at a time (one row of an image at least).
-PIXELS = 1 << 14
+PIXELS = 1 << 15
 #: Of an offset: pixels, those within blocks, those with each error; errors of inputs to reference within and across blocks, reference to target, inputs to target.
 COUNTS, ERRORS = ("n", "n_in", "n_e", "n_er", "n_ei"), ("e_in", "e_out", "er", "ei")
 
@@ -90,7 +90,7 @@ def evaluate_rows(
     a figure without any error is null.
 
     rows(y, x array<int>, v array) has a row for each row of the image, with the values of its pixels one after the other; ``spread`` makes the
-    target's channels of the values (.., stored), so that few need to move. Rows find the rows that they read by equi-joins; pixels are decoded
+    target's channels (channel, ..) of the values (stored, ..), so that few need to move. Rows find the rows that they read by equi-joins; pixels are decoded
     and compared within a row, in numpy, and only sums leave it.
     """
     levels_of = lambda t, which, shift: _beside_levels(t, which, image, shift)
@@ -147,7 +147,7 @@ def _beside_levels(rows: DataFrame, levels: list[Level], image: tuple[int, int],
 
 
 def _dense(line: pa.StructArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (x array, v array, ..) as an array (row, x, channel); whether a place is there, and whether all of its channels are known."""
+    """Rows (x array, v array, ..) as an array (channel, row, x); whether a place is there, and whether all of its channels are known."""
     xs, vs = line.flatten()[:2]
     x, v = xs.flatten().to_numpy(zero_copy_only=False), vs.flatten()
     m = len(v) // len(x) if len(x) else 0
@@ -157,16 +157,16 @@ def _dense(line: pa.StructArray, width: int) -> tuple[np.ndarray, np.ndarray, np
     there[at[inside]] = True
     known[at[inside]] = True if v.null_count == 0 else v.is_valid().to_numpy(zero_copy_only=False).reshape(len(x), m).all(1)[inside]
     v = v.to_numpy(zero_copy_only=False).reshape(len(x), m)
-    out = np.zeros((len(line) * width, m), v.dtype)
-    out[at[inside]] = v[inside]
-    return out.reshape(len(line), width, m), there.reshape(len(line), width), known.reshape(len(line), width)
+    out = np.zeros((m, len(line) * width), v.dtype)
+    out[:, at[inside]] = v[inside].T
+    return out.reshape(m, len(line), width), there.reshape(len(line), width), known.reshape(len(line), width)
 
 
 def _blend(tx: dict, ty: dict, near: np.ndarray, far: np.ndarray) -> np.ndarray:
     """Bilinear samples of rows above and below, added up from left to right."""
-    one, fx, fy = np.float32(1), tx["f"][None, :, None], ty["f"][:, None, None]
-    lo, hi = tx["lo"], tx["hi"]
-    return (one - fx) * (one - fy) * near[:, lo] + fx * (one - fy) * near[:, hi] + (one - fx) * fy * far[:, lo] + fx * fy * far[:, hi]
+    one, fx, fy = np.float32(1), tx["f"][None, :], ty["f"][:, None]
+    at = lambda line, end: np.take(line, tx[end], axis=2)
+    return (one - fx) * (one - fy) * at(near, "lo") + fx * (one - fy) * at(near, "hi") + (one - fx) * fy * at(far, "lo") + fx * fy * at(far, "hi")
 
 
 @dataclass(frozen=True)
@@ -178,10 +178,11 @@ class _Shape:
 
 
 class _Filtered:
-    """Counts and errors by offset of batches (y, x, oy, l0 .., near, far)."""
+    """Counts and errors by offset of batches (c, y, x, oy, l0 .., near, far)."""
 
     def __init__(self, levels: list[Level], smooth: list[Level], network: Network, image: tuple[int, int], positions: str, offsets: tuple, spread: Callable | None):
         self.levels, self.smooth = ([_Shape(x.size, x.nearest) for x in which] for which in (levels, smooth))
+        self.asked = ["y", "x", *(f"l{k}" for k in range(len(smooth)))]
         self.network, self.image, self.positions, self.offsets, self.spread = network, image, parse_positions(positions), offsets, spread
         if "lv1local" in self.positions and len(levels) < 2:
             raise ValueError("lv1local needs a second level")
@@ -190,19 +191,23 @@ class _Filtered:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, errors = np.zeros((len(self.offsets), len(COUNTS)), np.int64), np.zeros((len(self.offsets), len(ERRORS)))
         for batch in batches:
-            heights = batch.column("oy").to_numpy()
-            for oy in np.unique(heights):
-                rows = batch.take(pa.array(np.flatnonzero(heights == oy)))
-                longest = max(self.image[0], pc.max(pc.list_value_length(rows.column("x"))).as_py() or 0)
-                step = max(1, PIXELS // longest)
-                for at in range(0, rows.num_rows, step):
-                    self.add(rows.slice(at, step), float(oy), counts, errors)
+            longest = max(self.image[0], pc.max(pc.list_value_length(batch.column("x"))).as_py() or 0)
+            step = max(1, PIXELS // longest)
+            for at in range(0, batch.num_rows, step):
+                rows = batch.slice(at, step)
+                # The heights of a row often read the same two rows, and stand side by side after the join.
+                cells, first, which = np.unique(rows.column("c").to_numpy(), return_index=True, return_inverse=True)
+                ends = [self.pixels(rows.column(name).take(pa.array(first)), np.clip(cells + k, 0, self.image[1] - 1)) for k, name in enumerate(("near", "far"))]
+                heights = rows.column("oy").to_numpy()
+                for oy in np.unique(heights):
+                    own = np.flatnonzero(heights == oy)
+                    self.add(rows.select(self.asked).take(pa.array(own)), float(oy), *((both[:, which[own]], out[which[own]], target[which[own]]) for both, out, target in ends), counts, errors)
         used = np.flatnonzero(counts[:, 0])
         places = np.array(self.offsets, np.float64).reshape(-1, 2)[used]
         columns = [used.astype(np.int32), *places.T, *counts[used].T, *errors[used].T]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["k", "ox", "oy", *COUNTS, *ERRORS])
 
-    def add(self, rows: pa.RecordBatch, oy: float, counts: np.ndarray, errors: np.ndarray) -> None:
+    def add(self, rows: pa.RecordBatch, oy: float, above: tuple, below: tuple, counts: np.ndarray, errors: np.ndarray) -> None:
         y, xs = rows.column("y").to_numpy().astype(np.int64), rows.column("x")
         x = xs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         if not len(x):
@@ -212,19 +217,19 @@ class _Filtered:
         line = np.repeat(np.arange(len(y)), pc.list_value_length(xs).fill_null(0).to_numpy(zero_copy_only=False))
         times = np.bincount(line * len(px) + column, minlength=len(y) * len(px)).reshape(len(y), len(px))
         own = taps_batch(y, self.image[1], self.image[1], shift=oy)
-        (near, near_out, near_target), (far, far_out, far_target) = self.pixels(rows.column("near"), own["lo"]), self.pixels(rows.column("far"), own["hi"])
-        moved, inner_y = [rows.column(f"l{k}") for k in range(len(self.smooth))], self.same(y, 1, oy)
+        (near, near_out, near_target), (far, far_out, far_target) = above, below
+        moved, inner_y = self.texels([rows.column(f"l{k}") for k in range(len(self.smooth))], self.smooth), self.same(y, 1, oy)
         for k in (k for k, (_, height) in enumerate(self.offsets) if height == oy):
             ox = self.offsets[k][0]
             tx = taps_batch(px, self.image[0], self.image[0], shift=ox)
             both = _blend(tx, own, near, far)
             all_four = lambda a, b: a[:, tx["lo"]] & a[:, tx["hi"]] & b[:, tx["lo"]] & b[:, tx["hi"]]
             ref_known, target_known = all_four(near_out, far_out), all_four(near_target, far_target)
-            ref, target = np.split(both, 2, axis=2)
+            ref, target = np.split(both, 2)
             out, known, _ = self.decoded(moved, self.smooth, y, px, oy, ox)
             inner = inner_y[:, None] & self.same(px, 0, ox)[None, :]
             pairs = ((out, ref, known & ref_known), (ref, target, ref_known & target_known), (out, target, known & target_known))
-            e, er, ei = (np.where(where & (times > 0), np.square(a - b).sum(2), 0.0) * times for a, b, where in pairs)
+            e, er, ei = (np.where(where & (times > 0), np.square(a - b).sum(0), 0.0) * times for a, b, where in pairs)
             counts[k] += times.sum(), (times * inner).sum(), *((times * where).sum() for _, _, where in pairs)
             errors[k] += e[inner].sum(), e[~inner].sum(), er.sum(), ei.sum()
 
@@ -238,36 +243,40 @@ class _Filtered:
         width, channels = self.image[0], self.network.widths[-1]
         value, there, known = _dense(line, width)
         fields = line.flatten()
-        out, decoded, found = self.decoded(fields[2:], self.levels, y, np.arange(width), 0.0, 0.0)
+        out, decoded, found = self.decoded(self.texels(fields[2:], self.levels), self.levels, y, np.arange(width), 0.0, 0.0)
         if not there.any():
-            target = np.zeros((len(y), width, channels))
+            target = np.zeros((channels, len(y), width))
         else:
             target = (self.spread or (lambda v: v))(value).astype(np.float64)
-        return np.concatenate([out, target], 2), there & decoded, known & found
+        return np.concatenate([out, target]), there & decoded, known & found
 
-    def decoded(self, texels: list, levels: list[_Shape], y: np.ndarray, x: np.ndarray, oy: float, ox: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def texels(self, lines: list[pa.StructArray], levels: list[_Shape]) -> list[list[tuple]]:
+        """_dense() of the rows near, and far unless nearest, of each level."""
+        return [[_dense(end, level.size[0]) for end in line.flatten()] for level, line in zip(levels, lines, strict=True)]
+
+    def decoded(self, texels: list[list[tuple]], levels: list[_Shape], y: np.ndarray, x: np.ndarray, oy: float, ox: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The network's outputs at rows y and columns x moved by (ox, oy), where all of its inputs are known, and where the nearest texels are there."""
         places = (len(y), len(x))
         parts, known, found = [], np.ones(places, bool), np.ones(places, bool)
         for level, line in zip(levels, texels, strict=True):
             tx, ty = (taps_batch(p, n, m, level.nearest, d) for p, n, m, d in zip((x, y), self.image, level.size, (ox, oy), strict=True))
-            near, there, has = _dense((ends := line.flatten())[0], level.size[0])
+            near, there, has = line[0]
             known &= has[:, tx["lo"]] & has[:, tx["hi"]]
             if level.nearest:
                 found &= there[:, tx["lo"]]
-                parts.append(near[:, tx["lo"]])
+                parts.append(np.take(near, tx["lo"], axis=2))
                 continue
-            far, _, has = _dense(ends[1], level.size[0])
+            far, _, has = line[1]
             known &= has[:, tx["lo"]] & has[:, tx["hi"]]
             if known.any():
                 parts.append(_blend(tx, ty, near, far))
         if not known.any():
-            return np.zeros((*places, self.network.widths[-1])), known, found
+            return np.zeros((self.network.widths[-1], *places)), known, found
         two, one = np.float32(2), np.float32(1)
         for name in self.positions:
             size = self.levels[1].size if name == "lv1local" else (1, 1)
             tx, ty = (taps_batch(p, n, m, False, d) for p, n, m, d in zip((x, y), self.image, size, (ox, oy), strict=True))
             at = "f" if name == "lv1local" else "u"
-            parts += [np.broadcast_to((two * tx[at] - one)[None, :, None], (*places, 1)), np.broadcast_to((two * ty[at] - one)[:, None, None], (*places, 1))]
-        inputs = np.concatenate([p.astype(np.float64) for p in parts], 2)
-        return self.network.run(inputs.reshape(-1, inputs.shape[2])).reshape(*places, -1), known, found
+            parts += [np.broadcast_to((two * tx[at] - one)[None, None, :], (1, *places)), np.broadcast_to((two * ty[at] - one)[None, :, None], (1, *places))]
+        inputs = np.concatenate(parts, dtype=np.float64)
+        return np.ascontiguousarray(self.network.run(inputs.reshape(len(inputs), -1).T).T).reshape(-1, *places), known, found

@@ -43,9 +43,9 @@ def pixel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _three_channels(v: np.ndarray) -> np.ndarray:
-    """The target image of plane E's values (.., 1)."""
+    """The target image of plane E's values (1, ..)."""
     v = v.astype(np.float64)
-    return np.concatenate([v + 0.5, 0.5 - v, v / 2 + 0.5], -1)
+    return np.concatenate([v + 0.5, 0.5 - v, v / 2 + 0.5])
 
 
 _BASE, _BASE_LAST = network_sql(IMAGE_NET, "src")
